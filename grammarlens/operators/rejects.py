@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that are parsed at once, and those that are no longer halved.
-BLOCK, LEAF = 512, 8
+BLOCK, LEAF = 1024, 16
 U32 = 4294967295
 
 LINK_SCHEMA = "row_id bigint, el_id bigint, el_from bigint, url string, reason string"
@@ -33,7 +33,7 @@ _STRING = r"'(?:[^'\\]|\\(?s:.))*'"
 _PLAIN = (
     r"^[ \t\r\n]*\([ \t]*(?P<el_id>[0-9]{1,9})[ \t]*,[ \t]*(?P<el_from>[0-9]{1,9})[ \t]*,"
     r"[ \t]*'(?P<url>[A-Za-z][A-Za-z0-9+.\-]*:(?:[^'\\]|\\(?s:.))*)'[ \t]*,"
-    rf"[ \t]*(?:{_STRING}|(?i:NULL))[ \t]*,[ \t]*(?:'(?:[^'\\]|\\(?s:.)){{0,60}}'|(?i:NULL))[ \t]*\)[ \t\r\n]*[,;]?[ \t\r\n]*$"
+    rf"[ \t]*(?:{_STRING}|(?i:NULL))[ \t]*,[ \t]*(?:'(?P<el_index_60>(?:[^'\\]|\\(?s:.))*)'|(?i:NULL))[ \t]*\)[ \t\r\n]*[,;]?[ \t\r\n]*$"
 )
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:")
 _ESCAPED = {"n": "\n", "t": "\t", "r": "\r"}
@@ -113,10 +113,10 @@ def read_cert(line: str) -> dict:
 
 def _links_at_once(block: pa.Array) -> dict[str, pa.Array] | None:
     """The whole block, or None if a single row of it isn't plain."""
-    if block.null_count:
+    if block.null_count or not pc.all(pc.match_substring_regex(block, _PLAIN)).as_py():
         return None
     got = pc.extract_regex(block, _PLAIN)
-    if got.null_count:
+    if pc.max(pc.utf8_length(got.field("el_index_60"))).as_py() > 60:
         return None
     url = got.field("url")
     if pc.any(pc.match_substring(url, "\\")).as_py():
