@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grammarlens.functions import uri as U
-from grammarlens.llm import copies, feistel, mixing, reservoir
+from grammarlens.llm import copies, feistel, mixing, ngrams, packing, pii, reservoir, tokens
 from grammarlens.plans.tables import table
 
 _STRIP = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -150,5 +150,93 @@ for _x in ("head", "p", "fragment"):
 _P5 = f"select min(uri_id) over (partition by form) as keep_id, uri_id as dup_id from {_FORMS} qualify keep_id <> dup_id"
 _P5R = f"select min(uri_id) as keep_id, arg_min(uri, uri_id) as uri, count(*) as copies from {_FORMS} group by form"
 
-QUERIES = {"p1_sample": p1_sample, "p3_sample": p3_sample, "p3_report": p3_report, "p4_found": p4_found, "p4_mix": p4_mix, "p4_report": p4_report, "p5_found": p5_found, "p5_records": p5_records}
-ORACLES = {"p3_sample": _P3, "p4_found": _P4, "p5_found": _P5, "p5_records": _P5R}
+# --- 6: how often grammar nodes are visited ----------------------------------------------
+
+_GRAMMAR = "rfc3986-uri"
+
+
+def _samples(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The matched samples, each once, and one row with the number of all samples.
+
+    Of a redelivered sample one matched delivery is taken: the last, then that of the
+    greatest row number.
+    """
+    visits = table(spark, sf, "parse_visits").where(F.col("grammar") == _GRAMMAR)
+    total = visits.agg(F.countDistinct("sample_id").alias("total_samples"))
+    matched = visits.where("is_matched")
+    # Only the numbers are grouped; the arrays of nodes aren't shuffled to find repeats.
+    delivered = matched.groupBy("sample_id").agg(F.count("*").alias("n"), F.max(F.struct("parsed_at", "visit_row")).alias("last"))
+    repeats = delivered.where("n > 1").select("sample_id", F.col("last.visit_row").alias("last_row"))
+    once = matched.join(repeats, "sample_id", "left").where("last_row is null or visit_row = last_row")
+    return once.select("sample_id", "visited"), total
+
+
+def _nodes(spark: SparkSession, sf: str, longest: int = 1) -> DataFrame:
+    samples, total = _samples(spark, sf)
+    return ngrams.marked(ngrams.counted(samples, "visited", longest), total)
+
+
+def p6_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return _nodes(spark, sf).select(F.get("gram", F.lit(0)).alias("node_id"), F.col("occurrences").alias("visits"), F.col("records").alias("hits"), "total_samples", "mark")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_nodes(spark, sf).where("mark is not null").select("node_id", "mark")
+
+
+def p6_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for sequences of up to three nodes visited one after the other."""
+    return _nodes(spark, sf, 3).select("gram", F.col("occurrences").alias("visits"), F.col("records").alias("hits"), "total_samples", "mark")
+
+
+_ONE = f"(select sample_id, arg_max(visited, (parsed_at, visit_row)) as visited from parse_visits where grammar = '{_GRAMMAR}' and is_matched group by 1)"
+_P6 = f"""
+select node_id, visits, hits, total_samples, case when hits < 0.002 * total_samples then 'rare' when hits > 0.9 * total_samples then 'common' end as mark
+from (select node_id, count(*) as visits, count(distinct sample_id) as hits from (select sample_id, unnest(visited) as node_id from {_ONE}) where node_id is not null group by 1),
+(select count(distinct sample_id) as total_samples from parse_visits where grammar = '{_GRAMMAR}')
+"""
+
+
+# --- 7: encoding; 8: packing -------------------------------------------------------------
+
+
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.ids(table(spark, sf, "documents"))
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(tokens.ids(table(spark, sf, "documents")))
+
+
+def p8_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.usage(p8_pack(spark, sf))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that were divided: those with a second piece."""
+    return p8_pack(spark, sf).where("piece_no = 1").select("doc_id")
+
+
+# --- 9: personal information -------------------------------------------------------------
+
+
+def p9_text(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_parts")).select("doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.items(pii.redacted(table(spark, sf, "documents"), table(spark, sf, "name_parts")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_sample, p3_sample, p3_report, p4_found, p4_mix, p4_report, p5_found, p5_records, p6_nodes, p6_found, p6_sequences, p7_ids, p8_pack, p8_usage, p8_found, p9_text, p9_found)
+}
+ORACLES = {
+    "p3_sample": _P3,
+    "p4_found": _P4,
+    "p5_found": _P5,
+    "p5_records": _P5R,
+    "p6_nodes": _P6,
+    "p6_found": f"select node_id, mark from ({_P6}) where mark is not null",
+}
