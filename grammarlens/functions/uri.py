@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What str.strip() takes for white space, as a class of Java's regular expressions.
@@ -22,7 +22,7 @@ def normalized(raw: Column) -> Column:
 
 def is_listed(raw: Column) -> Column:
     """A line of a list that names a URI: neither null nor blank nor a comment."""
-    return F.coalesce(raw.rlike(f"^{SPACE}*(?!{SPACE}|#)[\\s\\S]"), F.lit(False))
+    return F.when(raw.rlike("^[!\"$-~]"), True).otherwise(F.coalesce(raw.rlike(f"^{SPACE}*(?!{SPACE}|#)[\\s\\S]"), F.lit(False)))
 
 
 def host(uri: Column) -> Column:
@@ -30,3 +30,39 @@ def host(uri: Column) -> Column:
     after = F.when(F.instr(uri, "://") > 0, F.substring(uri, F.instr(uri, "://") + 3, F.length(uri)))
     authority = F.substring_index(F.regexp_extract(after, "^[^/?#]*", 0), "@", -1)
     return F.when(~authority.startswith("["), F.nullif(F.substring_index(authority, ":", 1), F.lit("")))
+
+
+def suffix_rules(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Public suffix rules from their list: suffix (with * as first label), labels, is_exception."""
+    rule = F.lower(F.regexp_extract(F.col(line), r"^\s*(\S+)", 1))
+    kept = lines.select(rule.alias("rule")).where("rule <> '' and not startswith(rule, '//')")
+    suffix = F.when(F.col("rule").startswith("!"), F.expr("substring(rule, 2)")).otherwise(F.col("rule"))
+    return kept.select(suffix.alias("suffix"), F.size(F.split(suffix, r"\.")).alias("labels"), F.col("rule").startswith("!").alias("is_exception")).distinct()
+
+
+def registrable_domains(hosts: DataFrame, rules: DataFrame, column: str = "host") -> DataFrame:
+    """Each distinct host with its registrable domain: the public suffix and one label more.
+
+    An exception rule wins with one label less, else the longest rule, else the last label
+    alone is the suffix. Null for hosts that are suffixes, hold ":" or "/" or an empty
+    label. A host has few suffixes, so rules are met by equality; Spark broadcasts them
+    if they are small enough by their own size.
+    """
+    labels = F.split(F.lower(F.regexp_replace(stripped(F.col("host")), r"\.+$", "")), r"\.")
+    parts = hosts.select(F.col(column).alias("host")).where("host is not null").distinct().withColumn("_labels", labels)
+    sound = "not exists(_labels, l -> l = '' or contains(l, ':') or contains(l, '/'))"
+    tails = F.expr(
+        "flatten(transform(sequence(1, size(_labels)), n -> array("
+        " array_join(slice(_labels, size(_labels) - n + 1, n), '.'),"
+        " concat('*', case when n > 1 then concat('.', array_join(slice(_labels, size(_labels) - n + 2, n - 1), '.')) else '' end))))"
+    )
+    met = (
+        parts.where(sound)
+        .select("host", "_labels", F.explode(tails).alias("suffix"))
+        .join(rules, "suffix")
+        .groupBy("host")
+        .agg(F.max(F.expr("case when is_exception then labels - 1 end")).alias("_exception"), F.max(F.expr("case when not is_exception then labels end")).alias("_longest"))
+    )
+    wide = F.coalesce("_exception", "_longest", F.lit(1))
+    domain = F.when(F.expr(sound) & (F.size("_labels") > wide), F.expr("array_join(slice(_labels, -(coalesce(_exception, _longest, 1) + 1), coalesce(_exception, _longest, 1) + 1), '.')"))
+    return parts.join(met, "host", "left").select("host", domain.alias("domain"))
