@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grammarlens.functions.uri import is_listed
@@ -31,21 +31,24 @@ MOST_SEGMENTS = 1 << 14
 #: A form is hot if it has more than this share of the lines, so there are at most 1/HOT of them.
 HOT = 1e-3
 
-def canonical(line: Column) -> Column:
-    """Head, sorted parameters and fragment, reduced to letters and digits in one case.
+def with_form(lines: DataFrame, line: str = "uri") -> DataFrame:
+    """lines with their form: head, sorted parameters and fragment, reduced to letters and digits in one case.
 
     The line is reduced once, with the characters that divide it left in; they are then
     taken out of the parts in which they mean nothing. The three parts are joined by
-    characters that none of them holds, so no two different lines meet by accident.
+    characters that none of them holds, so no two different lines meet by accident. Each
+    step is a projection of its own: in one expression the costly reduction would be
+    repeated wherever it is named.
     """
-    ascii_ = F.regexp_replace(line, "[^A-Za-z0-9&;?#]++", "")  # a class of one table, much faster
-    reduced = F.when(F.octet_length(line) == F.length(line), F.lower(ascii_)).otherwise(F.lower(F.upper(F.regexp_replace(line, r"[^\p{L}\p{Nd}&;?#]++", ""))))
-    main = F.substring_index(reduced, "#", 1)
-    fragment = F.substring(reduced, F.length(main) + 2, F.length(reduced))
-    head = F.substring_index(main, "?", 1)
-    query = F.translate(F.substring(main, F.length(head) + 2, F.length(main)), ";?", "&")
-    parameters = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: p != "")), "&")
-    return F.concat(F.translate(head, "&;", ""), F.lit("?"), F.when(query == "", "").otherwise(parameters), F.lit("#"), F.translate(fragment, "&;?#", ""))
+    ascii_ = F.lower(F.regexp_replace(line, "[^A-Za-z0-9&;?#]++", ""))  # a class of one table, much faster
+    other = F.lower(F.upper(F.regexp_replace(line, r"[^\p{L}\p{Nd}&;?#]++", "")))
+    reduced = lines.withColumn("_r", F.when(F.octet_length(line) == F.length(line), ascii_).otherwise(other))
+    cut = reduced.withColumn("_main", F.substring_index("_r", "#", 1)).withColumn("_head", F.substring_index("_main", "?", 1))
+    parts = cut.withColumn("_query", F.translate(F.substring("_main", F.length("_head") + 2, F.length("_main")), ";?", "&"))
+    fragment = F.translate(F.substring("_r", F.length("_main") + 2, F.length("_r")), "&;?#", "")
+    parameters = F.array_join(F.array_sort(F.filter(F.split("_query", "&"), lambda p: p != "")), "&")
+    form = F.concat(F.translate("_head", "&;", ""), F.lit("?"), F.when(F.col("_query") == "", "").otherwise(parameters), F.lit("#"), fragment)
+    return parts.withColumn("form", form).drop("_r", "_main", "_head", "_query")
 
 
 def _places(hashes: np.ndarray, segments: int) -> np.ndarray:
@@ -148,4 +151,4 @@ def lines(*sources: DataFrame, number: str = "uri_id", line: str = "uri") -> Dat
     for s in sources:
         s = s.select(F.col(number).alias("uri_id"), F.col(line).alias("uri")).where(is_listed(F.col("uri")))
         out = s if out is None else out.unionByName(s)
-    return out.withColumn("form", canonical(F.col("uri")))
+    return with_form(out)
