@@ -1,7 +1,7 @@
 """Which nodes of a grammar are used too little to keep, and the grammar without them.
 
 A grammar is a graph of some hundred nodes. Usage comes from data; the graph itself is
-walked by joins, one for each step outwards, each keeping only what is new.
+walked by joins.
 """
 
 from __future__ import annotations
@@ -13,24 +13,26 @@ from pyspark.sql import functions as F
 
 from grammarlens.session import staged
 
-#: No rule nests deeper; a longer walk means that the edges aren't a tree.
-MOST_STEPS = 200
+MOST_ROUNDS = 20
 
 
 def reachable(start: DataFrame, edges: DataFrame, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
     """node_id of start and all that can be reached from it along edges; edges may form cycles.
 
-    Each step is checked for being empty, so the rows must be few, as those of a grammar are.
+    Ways are doubled in each round, so a graph as deep as 2^n takes n rounds. For graphs of
+    the size of a grammar: there are up to as many ways as pairs of nodes. Each round is
+    written, or its plan would hold all the rounds before it.
     """
-    step = edges.select(F.col(parent).alias("node_id"), F.col(child).alias("_next"))
-    # Each step is written, or its plan would hold all the steps before it.
-    found = new = staged(start.select("node_id").distinct().coalesce(1), "walk")
-    for _ in range(MOST_STEPS):
-        new = staged(new.join(step, "node_id").select(F.col("_next").alias("node_id")).distinct().join(found, "node_id", "left_anti").coalesce(1), "walk")
-        if new.isEmpty():
-            return found
-        found = found.unionByName(new)
-    raise ValueError("the walk doesn't end")
+    ways = staged(edges.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).distinct().coalesce(1), "ways")
+    size = ways.count()
+    for _ in range(MOST_ROUNDS):
+        onward = ways.select(F.col("_from").alias("_to"), F.col("_to").alias("_end"))
+        ways = staged(ways.unionByName(ways.join(onward, "_to").select("_from", F.col("_end").alias("_to"))).distinct().coalesce(1), "ways")
+        size, before = ways.count(), size
+        if size == before:
+            there = start.join(ways.withColumnRenamed("_from", "node_id"), "node_id").select(F.col("_to").alias("node_id"))
+            return start.select("node_id").unionByName(there).distinct()
+    raise ValueError("the graph is too deep")
 
 
 def protection(used: DataFrame, edges: DataFrame, protected: DataFrame, threshold: float) -> DataFrame:
