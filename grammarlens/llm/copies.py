@@ -117,7 +117,10 @@ def split_repeats(lines: DataFrame, rows: int, form: str = "form") -> tuple[Data
     rows is an upper bound of the number of lines, which sets the size of the filters.
     """
     segments = min(MOST_SEGMENTS, max(1, -(-rows * PER_LINE // SEGMENT)))
-    hashed = lines.withColumn("_h", F.xxhash64(form))
+    # Generated columns, because a filter on projected ones would be moved below all the steps
+    # of the form, where it would repeat the whole reduction each time it names the hash.
+    others = [c for c in lines.columns if c != form]
+    hashed = lines.select(*others, F.inline(F.array(F.struct(F.col(form), F.xxhash64(form).alias("_h")))))
     filter_ = seen_again(hashed.select("_h"), segments)
     tested = hashed.withColumn("segment", F.expr(f"cast(shiftrightunsigned(_h, 45) % {segments} as int)")).join(F.broadcast(filter_), "segment")
     may = tested.withColumn("_may", F.expr(_may_repeat("words", "_h"))).drop("segment", "words", "_h")
