@@ -1,0 +1,56 @@
+import pytest
+
+from grammarlens.llm import pii
+
+PARTS = [("Corn", "given"), ("Starn", "given"), ("Klos", "given"), ("Mouda", "family"), ("Groto", "family"), ("Testúdros", "family"), ("Sligeirn", "family"), ("Frost", "family"), (None, "given"), ("x", None)]
+NAMES = pii.Names([p for p in PARTS if None not in p])
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (r"wrote from a.b+tex@mail.x-y.example.org on", [("email", "a.b+tex@mail.x-y.example.org")]),
+        (r"\texttt{corn\_mouda\,@\,x.test}.", [("email", r"corn\_mouda\,@\,x.test")]),
+        (r"a$@$b.example, or c (at) d.example.", [("email", "a$@$b.example"), ("email", "c (at) d.example")]),
+        (r"(e [at] f [dot] example [dot] org)", [("email", "e [at] f [dot] example [dot] org")]),
+        (r"from g AT h DOT example DOT com on Monday", [("email", "g AT h DOT example DOT com")]),
+        (r"used x@5.18.5 and P@13, $x_{1}@y = 0$, @misc{k1, look AT this", []),
+        (r"Tel.: (020) 7946 0398, Fax: +1 (617) 555-0186", [("phone", "(020) 7946 0398"), ("phone", "+1 (617) 555-0186")]),
+        (r"{415\,555\,0149} 617.555.0183, 415--555--0171; +14155550127 0044 20 7946 0493", [("phone", x) for x in (r"415\,555\,0149", "617.555.0183", "415--555--0171", "+14155550127", "0044 20 7946 0493")]),
+        (r"+33 1 99 00 33 56. +49 30 23125 561, +44-20-7946-0858", [("phone", x) for x in ("+33 1 99 00 33 56", "+49 30 23125 561", "+44-20-7946-0858")]),
+        (r"grant 307-26-3543, ISBN 978-0-00-494655-6, run 772-807-9574-b, 939.132.15, Compound 5485-94-4, J. 74 (2010) 655, seed 4426079467", []),
+        (r"\orcid{0900-1838-4337-4734} SSN: 000--24--9249, passport no. W9595225, ID card no. ZK3044910, soc. sec. no. 175 00 3164", [("idnum", x) for x in ("0900-1838-4337-4734", "000--24--9249", "W9595225", "ZK3044910", "175 00 3164")]),
+        (r"ORCID 0900-1838-4337-4735, Data set 0900-1838-4337-4734, 000-24-9249, W9595225", []),
+        (r"at 26 Preip Sq. in X, 183--185 North Jenax Drive, 48--50, rue de Sletioske, Via Skislo, 17, Calle Quegru 23, Loreiweg 60", [("address", x) for x in ("26 Preip Sq.", "183--185 North Jenax Drive", "48--50, rue de Sletioske", "Via Skislo, 17", "Calle Quegru 23", "Loreiweg 60")]),
+        (r"Kaestra\ss{}e 126 in, Griostraße 49c, Woustr. 92", [("address", r"Kaestra\ss{}e 126"), ("address", "Griostraße 49c"), ("address", "Woustr. 92")]),
+        (r"We took 21 Road scenes and 23 Lane images", []),
+        (r"\author{Corn~Mouda \and Groto, Starn}", [("name", "Corn~Mouda"), ("name", "Groto, Starn")]),
+        ("thank Corn B. van der Sligeirn for", [("name", "Corn B. van der Sligeirn")]),
+        ("TODO ask KLOS\nGROTO about", [("name", "KLOS\nGROTO")]),
+        (r"by Dr. Corn Test\'{u}dros in", [("name", r"Corn Test\'{u}dros")]),
+        (r"discussions with Unk Nownname and Corn Unk we", [("name", "Unk Nownname"), ("name", "Corn Unk")]),
+        (r"\author{Mouda, C. \and C.~Groto}", []),
+        ("By Mouda's lemma. Following Mouda and Groto, the Klos corpus (Mouda, 2019). Institute of Mouda, Corn Mouda Institute", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_spans(text, want):
+    assert [(s.kind, text[s.start : s.end]) for s in pii.found(text, NAMES)] == want
+
+
+def test_check_character():
+    assert pii.check_character("000000021825009") == "7"
+    assert pii.check_character("000000021694233") == "X"
+
+
+def test_redaction_changes_nothing_else(spark):
+    text = "Ünïcode\r\n​ ask Corn Mouda, tel +14155550127, a@b.example\n" + "word " * 50_000
+    rows = [(1, text), (2, None), (3, ""), (1, text), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as items", "'x' as kind")
+    got = pii.redacted(df, spark.createDataFrame(PARTS, "name_part string, part_role string"))
+    texts = [(r.doc_id, r.text) for r in got.collect()]
+    assert texts.count((1, text.replace("Corn Mouda", "[NAME]").replace("+14155550127", "[PHONE]").replace("a@b.example", "[EMAIL]"))) == 2
+    assert (2, None) in texts and (3, "") in texts and (None, "x") in texts
+    assert {(r.doc_id, r.kind) for r in pii.items(got).collect()} == {(1, "name"), (1, "phone"), (1, "email")}
+    assert pii.redacted(df.where("false"), spark.createDataFrame([], "name_part string, part_role string")).count() == 0
