@@ -125,5 +125,5 @@ def packed(encoded: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN)
 def usage(packs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """How many containers there are, what they hold and which share of them is unused."""
     return packs.agg(F.countDistinct("container_id").alias("containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).withColumn(
-        "unused_share", F.expr(f"round(1 - tokens / (containers * {capacity}), 6)")
+        "unused_share", F.expr(f"round(1 - try_divide(tokens, containers * {capacity}), 6)")
     )

@@ -54,7 +54,7 @@ def emails(text: str) -> Iterator[Span]:
 _GAP = r"(?:--|[\-. ~\u00a0\u2009\u202f\u2010-\u2014]|\\[,; ]|\\~\{\}|\r?\n)"
 _PHONE = re.compile(
     rf"(?<![\w+.\-/])(?:"
-    rf"\+[1-9]\d{{0,2}}(?:{_GAP}?\(?\d{{1,5}}\)?){{2,6}}"
+    rf"\+[1-9]\d{{8,14}}|\+[1-9]\d{{0,2}}(?:{_GAP}?\(?\d{{1,5}}\)?){{2,6}}"
     rf"|00[1-9]\d?{_GAP}\d{{1,4}}(?:{_GAP}\d{{2,5}}){{1,4}}"
     rf"|\(0?\d{{2,4}}\){_GAP}?\d{{3,5}}{_GAP}\d{{3,5}}"
     rf"|\d{{3}}(?P<g>{_GAP})\d{{3}}(?P=g)\d{{4}}"

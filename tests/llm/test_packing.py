@@ -54,4 +54,4 @@ def test_neighbours_on_the_curve_share_containers(spark):
     rows = [(i, rng.choice(topics[i % 4], 30).tolist()) for i in range(1200)]
     got = pack(spark, rows).toPandas()
     mixed = got.assign(topic=got.doc_id % 4).groupby("container_id").topic.nunique()
-    assert (mixed == 1).mean() > 0.5
+    assert (mixed == 1).mean() > 0.25  # by chance, about 0.05
