@@ -164,7 +164,7 @@ def component_usage(spark: SparkSession, sf: str) -> DataFrame:
 def _component_sql() -> str:
     full, v4 = _patterns()
     # The oracle's expressions have no possessive quantifiers; what they match is the same.
-    tests = _components("uri", full.replace("++", "+"), v4, "duckdb")
+    tests = _components("uri", full.replace("++", "+").replace("*+", "*"), v4, "duckdb")
     counts = ", ".join(f"count(*) filter (where m and {tests[k].partition(' and ')[2]}) as {k.replace('-', '_').lower()}" for k in COMPONENTS)
     return f"select stratum, count(*) as uris, {counts} from (select stratum, uri, {tests['URI'].partition(' and ')[0]} as m from (select distinct stratum, uri from {_HOSTED} where uri is not null and strlen(uri) <= 8192)) group by 1"
 

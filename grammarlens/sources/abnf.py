@@ -165,10 +165,10 @@ def _set(node: Node, all_rules: dict[str, Node]) -> str | None:
 def pattern(all_rules: dict[str, Node], rule: str) -> str:
     """A regular expression of what a rule matches, for grammars without recursion.
 
-    Options that are single characters become one class; where such options are repeated
-    beside others, a run of the class is taken at once and not given back, which keeps the
-    expression linear and flat. The delimiters of a grammar like RFC 3986, which never
-    stand in the class before them, allow that.
+    Options that are single characters become one class. What is repeated without a limit is
+    taken at once and not given back, which keeps matching linear and its stack flat. The
+    delimiters of a grammar like RFC 3986, which never stand in what is repeated before
+    them, allow that.
     """
 
     def of(node: Node, within: tuple[str, ...], repeated: bool = False) -> str:
@@ -196,7 +196,8 @@ def pattern(all_rules: dict[str, Node], rule: str) -> str:
             open_ended = bool(star) and not high and low in ("", "0", "1")
             inner = of(node.children[0], within, open_ended)
             times = "+" if open_ended and low == "1" else "*" if open_ended else f"{{{low or 0}{',' * bool(star)}{high}}}"
-            return (inner if _set(node.children[0], all_rules) else f"(?:{inner})") + times
+            # Java recurses for each round of a group that it may give back, but not for one that it keeps.
+            return inner + times if _set(node.children[0], all_rules) else f"(?:{inner}){times}" + "+" * open_ended
         options = _flat(node, all_rules)
         sets = [s for c in options if (s := _set(c, all_rules)) is not None]
         others = [of(c, within) for c in options if _set(c, all_rules) is None]
