@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from grammarlens.session import staged
+
 
 def quotas(strata: DataFrame, weight: str, target: int, index: str) -> DataFrame:
     """strata with quota: target divided by weight, leftovers to the largest remainders.
@@ -37,7 +39,9 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     Rows are range-sorted; each task numbers its own, and the counts of the tasks before it,
     one number for each task, are added.
     """
+    # Written once: a second run of the range sort could draw other borders.
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_task", F.spark_partition_id()).withColumn("_own", F.monotonically_increasing_id() - F.shiftleft(F.col("_task").cast("bigint"), 33))
+    placed = staged(placed, "numbered")
     sizes = placed.groupBy("_task").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return placed.join(F.broadcast(before), "_task").withColumn("number", F.col("_own") + F.col("_before")).drop("_task", "_own", "_before")
