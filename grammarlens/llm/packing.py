@@ -1,16 +1,18 @@
 """Filling containers of fixed capacity with documents that lie close together.
 
 A document's hashed term vector is projected to three dimensions and placed on a Hilbert
-curve. Documents are range-sorted by their place on it, and each task packs a stretch of
-the curve: a document goes into the fullest open container that has room for it, and only
-some containers are open at a time, so neighbours share containers and a task's memory
-doesn't grow with its stretch. Documents longer than a container fill containers of their
+curve. Documents are range-sorted by their place on it, and each task packs its part of
+the curve, one short stretch after the other: the longest document of a stretch goes first,
+each into the fullest open container that has room for it. Only the emptiest containers
+stay open for the next stretch, so neighbours share containers and a task's memory doesn't
+grow with its part. Documents longer than a container fill containers of their
 own, and what is left of them is packed like a document.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 
 from grammarlens.session import staged
 
-CAPACITY, OPEN = 4096, 64
+CAPACITY = 4096
+#: Documents along the curve that are packed together, and containers that stay open after them.
+STRETCH, OPEN = 1024, 256
 DIMENSIONS, BITS, BUCKETS = 3, 10, 1024
 SCHEMA = "container_id bigint, doc_id bigint, piece_no int, first_token bigint, n_tokens bigint"
 
@@ -80,23 +84,23 @@ def placed(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_placed, "doc_id bigint, n bigint, place bigint")
 
 
-def _packed(batches: Iterator[pa.RecordBatch], capacity: int, most_open: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], capacity: int, stretch: int, most_open: int) -> Iterator[pa.RecordBatch]:
     base, made = TaskContext.get().partitionId() << 40, 0
     free: list[tuple[int, int]] = []  # room and number of the open containers, in order
-    for batch in batches:
+    documents = ((d, n) for b in batches for d, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    while near := list(itertools.islice(documents, stretch)):
         out: list[tuple] = []
-        for doc, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rests = []
+        for doc, n in near:
             whole = n // capacity if n > capacity else 0
-            for piece in range(whole):
-                out.append((base + made, doc, piece, piece * capacity, capacity))
-                made += 1
-            rest = n - whole * capacity
-            if whole and not rest:
-                continue
+            out += [(base + made + i, doc, i, i * capacity, capacity) for i in range(whole)]
+            made += whole
+            if not whole or n % capacity:
+                rests.append((n - whole * capacity, doc, whole))
+        # The longest first; each into the container that it fills best.
+        for rest, doc, whole in sorted(rests, key=lambda x: -x[0]):
             at = bisect.bisect_left(free, (rest, -1))
             if at == len(free):
-                if len(free) == most_open:
-                    free.pop(0)
                 room, number = capacity, made
                 made += 1
             else:
@@ -104,12 +108,12 @@ def _packed(batches: Iterator[pa.RecordBatch], capacity: int, most_open: int) ->
             out.append((base + number, doc, whole, whole * capacity, rest))
             if room > rest:
                 bisect.insort(free, (room - rest, number))
-        columns = list(zip(*out, strict=True)) or [()] * 5
+        del free[: max(0, len(free) - most_open)]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["container_id", "doc_id", "piece_no", "first_token", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["container_id", "doc_id", "piece_no", "first_token", "n_tokens"])
 
 
-def packed(encoded: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN) -> DataFrame:
+def packed(encoded: DataFrame, capacity: int = CAPACITY, stretch: int = STRETCH, most_open: int = OPEN) -> DataFrame:
     """container_id, doc_id, piece_no, first_token, n_tokens of every document.
 
     Documents without tokens (null and empty texts) take no room but are put into a
@@ -119,7 +123,7 @@ def packed(encoded: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN)
     """
     # Written once: the range sort reads its input twice, and encoding is what costs.
     sizes = staged(placed(encoded), "sizes")
-    return sizes.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id").select("doc_id", "n").mapInArrow(lambda it: _packed(it, capacity, most_open), SCHEMA)
+    return sizes.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id").select("doc_id", "n").mapInArrow(lambda it: _packed(it, capacity, stretch, most_open), SCHEMA)
 
 
 def usage(packs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
