@@ -229,7 +229,7 @@ class Names:
 
     def _introduced_pair(self, text: str, start: int) -> bool:
         """After "discussions with A and": the second of two people."""
-        return bool(re.search(r"\bdiscussions\s+with\s[^.]{3,90}\sand\s+$", text[max(0, start - 120) : start]))
+        return bool(re.search(rf"\bdiscussions\s+with\s(?:[^.]|(?<=\b[{_UPPER}])\.){{3,90}}\sand\s+$", text[max(0, start - 120) : start]))
 
 
 # --- all kinds ---------------------------------------------------------------------------

@@ -28,7 +28,7 @@ NAMES = pii.Names([p for p in PARTS if None not in p])
         ("thank Corn B. van der Sligeirn for", [("name", "Corn B. van der Sligeirn")]),
         ("TODO ask KLOS\nGROTO about", [("name", "KLOS\nGROTO")]),
         (r"by Dr. Corn Test\'{u}dros in", [("name", r"Corn Test\'{u}dros")]),
-        (r"discussions with Unk Nownname and Corn Unk we", [("name", "Unk Nownname"), ("name", "Corn Unk")]),
+        (r"discussions with Unk D. Nownname and Corn Unk we", [("name", "Unk D. Nownname"), ("name", "Corn Unk")]),
         (r"\author{Mouda, C. \and C.~Groto}", []),
         ("By Mouda's lemma. Following Mouda and Groto, the Klos corpus (Mouda, 2019). Institute of Mouda, Corn Mouda Institute", []),
         ("", []),
