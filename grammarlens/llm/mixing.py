@@ -59,6 +59,8 @@ def balanced(wanted: DataFrame, sizes: DataFrame, group: list[str], source: str,
         s["_reach"] = s["_full"] is not None and s["_full"] >= s["_goal"]
         s["_mult"] = 0.0 if s["_once"] and s["_goal"] > 0 else None
         s["_low"], s["_high"] = -700.0 / (s["_widest"] or 1), 700.0 / (s["_widest"] or 1)
+        if s["_mult"] is not None and s["_full"] == s["_goal"]:
+            s["_mult"] = s["_high"]  # only with every record at the cap
     spark, kinds = wanted.sparkSession, [wanted.schema[g] for g in group]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", _mult double"
     for _ in range(STEPS):

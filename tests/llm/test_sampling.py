@@ -119,7 +119,7 @@ def test_balanced_rates_meet_their_goals(spark):
 def test_copies_add_up_to_the_targets(spark):
     records = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(300)] + [(900, None), (None, "a")], "n long, stratum string")
     sizes = records.where("n is not null and stratum is not null").groupBy("stratum").agg(F.count("*").alias("n")).withColumn("size", F.lit(1))
-    want = [(1, 0, "a", 130.0, 130, 1, 7, 200), (1, 1, "b", 250.0, 250, 4, 8, 100), (2, 0, "b", 300.0, 300, 2, 9, 100), (2, 1, "a", 0.0, 0, 2, 9, 200), (3, 0, "a", 400.0, 400, 2, 9, 200)]
+    want = [(1, 0, "a", 130.0, 130, 1, 7, 200), (1, 1, "b", 250.0, 250, 4, 8, 100), (2, 0, "b", 300.0, 300, 2, 9, 100), (2, 1, "a", 0.0, 0, 2, 9, 200), (3, 0, "a", 400.0, 400, 2, 9, 200), (4, 0, "b", 500.0, 500, 5, 1, 100)]
     solved = mixing.balanced(wanted(spark, want), sizes, ["run_id", "stratum_idx"], "stratum", "share", "max_repeats")
     got = mixing.mixture(records, "n", "stratum", solved.drop("n").join(wanted(spark, want).select("run_id", "stratum_idx", "n"), ["run_id", "stratum_idx"]), ["run_id", "stratum_idx"], "target", "max_repeats", "seed").collect()
     total, most = {}, {}
@@ -127,8 +127,8 @@ def test_copies_add_up_to_the_targets(spark):
         key = (r.run_id, r.stratum_idx)
         total[key] = total.get(key, 0) + r.copies
         most[key] = max(most.get(key, 0), r.copies)
-    assert total == {(1, 0): 130, (1, 1): 250, (2, 0): 200, (3, 0): 400}
-    assert most == {(1, 0): 1, (1, 1): 3, (2, 0): 2, (3, 0): 2}
+    assert total == {(1, 0): 130, (1, 1): 250, (2, 0): 200, (3, 0): 400, (4, 0): 500}
+    assert most == {(1, 0): 1, (1, 1): 3, (2, 0): 2, (3, 0): 2, (4, 0): 5}
 
 
 def test_quotas_follow_the_weights(spark):
