@@ -32,6 +32,9 @@ _RULES = ", ".join(f"('{s.lstrip('!')}', {s.count('.') + 1}, {s[0] == '!'})" for
 _DOMAINS = _DOMAIN.format(hosted=_HOSTED, rules=_RULES)
 
 
+NORMALIZED = _HOSTED
+
+
 def uris(spark: SparkSession, sf: str) -> DataFrame:
     """Records with normalised URI and the host that it names, null if blank."""
     return table(spark, sf, "uri_records").select("rec_id", "stratum", "src_file", "ord", U.normalized(F.col("raw_uri")).alias("uri")).withColumn("own_host", U.host(F.col("uri")))
@@ -161,10 +164,13 @@ def component_usage(spark: SparkSession, sf: str) -> DataFrame:
     return matched.groupBy("stratum").agg(F.count("*").alias("uris"), *counts)
 
 
+def oracle_pattern(rule: str) -> str:
+    """For the oracle, whose expressions have no possessive quantifiers; what they match is the same."""
+    return abnf.pattern(abnf.rules(abnf.vendored()), rule).replace("'", "\\x27").replace("++", "+").replace("*+", "*")
+
+
 def _component_sql() -> str:
-    full, v4 = _patterns()
-    # The oracle's expressions have no possessive quantifiers; what they match is the same.
-    tests = _components("uri", full.replace("++", "+").replace("*+", "*"), v4, "duckdb")
+    tests = _components("uri", oracle_pattern("URI"), oracle_pattern("IPv4address"), "duckdb")
     counts = ", ".join(f"count(*) filter (where m and {tests[k].partition(' and ')[2]}) as {k.replace('-', '_').lower()}" for k in COMPONENTS)
     return f"select stratum, count(*) as uris, {counts} from (select stratum, uri, {tests['URI'].partition(' and ')[0]} as m from (select distinct stratum, uri from {_HOSTED} where uri is not null and strlen(uri) <= 8192)) group by 1"
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grammarlens.functions import ident
-from grammarlens.operators import der, evidence, hits, prune, rejects
+from grammarlens.functions.uri import normalized
+from grammarlens.operators import der, evidence, hits, prune, recognize, rejects
+from grammarlens.plans import corpus
 from grammarlens.plans.tables import table
 from grammarlens.sources import abnf
 from grammarlens.streaming import incremental
@@ -48,6 +50,26 @@ def _used(spark: SparkSession, sf: str) -> DataFrame:
     return hits.usage(_graph(spark)[0], hits.hits(samples), hits.totals(samples))
 
 
+def _recognized(spark: SparkSession, sf: str, by: list[str] | None = None) -> DataFrame:
+    """Hits of the distinct URIs of each stratum."""
+    once = table(spark, sf, "uri_records").select("stratum", normalized(F.col("raw_uri")).alias("uri")).where("uri is not null and not startswith(uri, '#')").distinct()
+    return recognize.counted(once, "uri", URI, abnf.vendored(), by)
+
+
+def uri_node_usage(spark: SparkSession, sf: str) -> DataFrame:
+    """From the URIs themselves: every node of the grammar, how many URIs use it, and which share that is."""
+    found = _recognized(spark, sf)
+    counted = found.where("node_id is not null").select("grammar", "node_id", "hits")
+    used = hits.usage(_graph(spark)[0], counted, found.where("node_id is null").select("grammar", "total_samples"))
+    return used.select("node_id", "kind", "name", "hits", "total_samples", F.round("usage", 9).alias("usage"))
+
+
+def uri_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """How many distinct URIs of each stratum the grammar matches."""
+    found = _recognized(spark, sf, ["stratum"]).where("node_id is null")
+    return found.select("stratum", F.col("total_samples").alias("uris"), F.col("hits").alias("matched"))
+
+
 def node_usage(spark: SparkSession, sf: str) -> DataFrame:
     """Every node of the grammar with its hits, also those that nothing hit."""
     return _used(spark, sf).select("node_id", "kind", "name", "hits", "total_samples", F.round("usage", 9).alias("usage"))
@@ -133,9 +155,10 @@ _NODES = "(values " + ", ".join(f"('{n}', '{k}', '{name}')" for n, k, name in ab
 
 QUERIES = {
     f.__name__: f
-    for f in (node_hits, sample_totals, shard_hits_merged, streamed_hits, node_usage, pruned_nodes, rare_nodes, verdicts, restorable_nodes, submission_problems, distinct_certificates, der_hits, log_entries)
+    for f in (node_hits, sample_totals, shard_hits_merged, streamed_hits, uri_node_usage, uri_matches, node_usage, pruned_nodes, rare_nodes, verdicts, restorable_nodes, submission_problems, distinct_certificates, der_hits, log_entries)
 }
 ORACLES = {
+    "uri_matches": f"select stratum, count(*) as uris, count(*) filter (where regexp_full_match(uri, '{corpus.oracle_pattern('URI')}')) as matched from (select distinct stratum, uri from {corpus.NORMALIZED} where uri is not null and not starts_with(uri, '#') and strlen(uri) <= 8192) group by 1",
     "node_hits": f"select * from {_HITS}",
     "sample_totals": f"select * from {_TOTALS}",
     "shard_hits_merged": f"select * from {_HITS}",

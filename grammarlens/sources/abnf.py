@@ -144,6 +144,11 @@ def vendored(name: str = "rfc3986") -> str:
 # --- as a regular expression -------------------------------------------------------------
 
 
+def node_pattern(all_rules: dict[str, Node], node: Node) -> str:
+    """A regular expression of what one node of a grammar matches."""
+    return pattern({**all_rules, "": node}, "")
+
+
 def _set(node: Node, all_rules: dict[str, Node]) -> str | None:
     """The inside of a character class, if the node matches single characters only."""
     if node.kind == "reference":
