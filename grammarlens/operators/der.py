@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grammarlens.sources import abnf, asn1
+
 #: Names of universal tags, fixed by ASN.1.
 TAGS = {1: "BOOLEAN", 2: "INTEGER", 3: "BIT STRING", 4: "OCTET STRING", 5: "NULL", 6: "OBJECT IDENTIFIER", 12: "UTF8String", 16: "SEQUENCE", 17: "SET", 19: "PrintableString", 22: "IA5String", 23: "UTCTime", 24: "GeneralizedTime"}
 DEEPEST = 1024
+#: Longer certificates count as not matching.
+MOST_BYTES = 65536
+
+
+class Element(NamedTuple):
+    kind: int  # 0 universal, 1 application, 2 context, 3 private
+    number: int
+    holds: bool
+    start: int
+    stop: int
 
 
-def _element(der: bytes, at: int, end: int) -> tuple[str, bool, int, int] | None:
-    """Name, whether it holds elements, and where its content starts and ends; None if it can't be read."""
+def element(der: bytes, at: int, end: int) -> Element | None:
+    """The element at a place, or None if it can't be read there: at most four bytes of length, and a definite one."""
     if at + 2 > end:
         return None
     first, at = der[at], at + 1
@@ -36,9 +49,7 @@ def _element(der: bytes, at: int, end: int) -> tuple[str, bool, int, int] | None
         size, at = int.from_bytes(der[at : at + wide], "big"), at + wide
     if at + size > end:
         return None
-    kind = first >> 6
-    name = TAGS.get(number, f"UNIVERSAL {number}") if kind == 0 else f"[{('', 'APPLICATION ', '', 'PRIVATE ')[kind]}{number}]"
-    return name, bool(first & 0x20), at, at + size
+    return Element(first >> 6, number, bool(first & 0x20), at, at + size)
 
 
 def places(der: bytes | None) -> list[str] | None:
@@ -54,10 +65,11 @@ def places(der: bytes | None) -> list[str] | None:
         at, end, above, depth = stack.pop()
         if at == end:
             continue
-        got = _element(der, at, end)
-        if not got or depth > DEEPEST or (not above and got[3] != end):
+        got = element(der, at, end)
+        if not got or depth > DEEPEST or (not above and got.stop != end):
             return None
-        name, holds, start, stop = got
+        kind, number, holds, start, stop = got
+        name = TAGS.get(number, f"UNIVERSAL {number}") if kind == 0 else f"[{('', 'APPLICATION ', '', 'PRIVATE ')[kind]}{number}]"
         place = f"{above}/{name}" if above else name
         out.append(place)
         stack.append((stop, end, above, depth))
@@ -66,14 +78,98 @@ def places(der: bytes | None) -> list[str] | None:
     return out
 
 
-def walked(certificates: DataFrame, der: str = "der") -> DataFrame:
-    """certificates with is_matched and visited, for grammarlens.operators.hits. Null bytes don't match."""
+class Typed:
+    """Walks a value along the types of a module, and is lenient as the values are.
+
+    A required component that doesn't fit is passed over, an optional one leaves the value
+    to the next; what follows the last component is ignored; a choice takes any value; an
+    implicitly tagged value counts for its type without being opened.
+    """
+
+    def __init__(self, grammar: str, rules: dict[str, abnf.Node]) -> None:
+        self.rules, self.grammar, self.root = rules, grammar, next(iter(rules))
+
+    def visited(self, der: bytes | None) -> list[str] | None:
+        """Ids of the nodes that the value uses; None if it isn't one value of the first type."""
+        got = self._rule(self.root, der, 0, len(der)) if der and len(der) <= MOST_BYTES else None
+        return sorted(got[1]) if got and got[0] == len(der) else None
+
+    def _rule(self, rule: str, der: bytes, at: int, end: int) -> tuple[int, set[str]] | None:
+        got = self._fit(self.rules[rule], rule, f"{rule}>body", der, at, end)
+        return got and (got[0], got[1] | {abnf.node_id(self.grammar, rule, rule)})
+
+    def _fit(self, node: abnf.Node, rule: str, path: str, der: bytes, at: int, end: int) -> tuple[int, set[str]] | None:
+        """Where the value that fits the node ends, and the nodes it uses."""
+        child = lambda i, a, e: self._fit(node.children[i], rule, self._below(path, node, i), der, a, e)
+        own = {abnf.node_id(self.grammar, rule, path)}
+        if node.kind in ("named-type", "optional", "reference"):
+            got = self._rule(node.name, der, at, end) if node.kind == "reference" else child(0, at, end)
+            return got and (got[0], got[1] | own)
+        value = element(der, at, end)
+        if value is None:
+            return None
+        if node.kind in ("sequence", "repetition"):
+            if value[:3] != (0, 17 if node.name.startswith("SET") else 16, True):
+                return None
+            own |= (self._components if node.kind == "sequence" else self._repeats)(node, child, der, value)
+        elif node.kind == "alternation":
+            own |= next((got[1] for i in range(len(node.children)) if (got := child(i, at, end))), set())
+        elif node.kind == "tag":
+            if (value.kind, str(value.number)) != (2, node.name[1:].partition("]")[0].strip()):
+                return None
+            if "IMPLICIT" in node.name or "EXPLICIT" not in node.name and not value.holds:
+                own.add(abnf.node_id(self.grammar, rule, self._below(path, node, 0)))
+            elif got := child(0, value.start, value.stop):
+                own |= got[1]
+            else:
+                return None
+        elif (tag := (asn1.STRINGS if node.kind == "string-type" else asn1.LEAVES).get(node.name)) is not None and (value.kind, value.number) != (0, tag):
+            return None
+        return value.stop, own
+
+    @staticmethod
+    def _below(path: str, node: abnf.Node, i: int) -> str:
+        return f"{path}>{node.children[i].kind}:{node.children[i].tag}:{i}"
+
+    @staticmethod
+    def _components(node: abnf.Node, child: Callable, der: bytes, value: Element) -> set[str]:
+        used, at = set(), value.start
+        for i, component in enumerate(node.children):
+            if at >= value.stop:
+                break
+            if got := child(i, at, value.stop):
+                at, more = got
+                used |= more
+            elif component.children[0].kind != "optional":
+                passed = element(der, at, value.stop)
+                if passed is None:
+                    break
+                at = passed.stop
+        return used
+
+    @staticmethod
+    def _repeats(node: abnf.Node, child: Callable, der: bytes, value: Element) -> set[str]:
+        used, at = set(), value.start
+        while at < value.stop and (inner := element(der, at, value.stop)):
+            if got := child(0, at, value.stop):
+                used |= got[1]
+            at = inner.stop
+        return used
+
+
+def walked(certificates: DataFrame, der: str = "der", typed: tuple[str, str] | None = None) -> DataFrame:
+    """certificates with is_matched and visited, for grammarlens.operators.hits. Null bytes don't match.
+
+    typed is the name and text of a module in ASN.1: then the nodes of the module are
+    visited, else the places of the value's own structure.
+    """
     kept = certificates.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = Typed(typed[0], asn1.rules(typed[1])).visited if typed else places
         for batch in batches:
-            found = [places(x) for x in batch.column(kept.index(der)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x is not None for x in found]), pa.array([x or [] for x in found], pa.list_(pa.string()))], names=[*kept, "is_matched", "visited"])
+            found = [walk(x) for x in batch.column(kept.index(der)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x is not None for x in found], pa.bool_()), pa.array([x or [] for x in found], pa.list_(pa.string()))], names=[*kept, "is_matched", "visited"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in certificates.schema)
     return certificates.mapInArrow(run, f"{fields}, is_matched boolean, visited array<string>")

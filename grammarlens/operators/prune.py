@@ -63,8 +63,11 @@ def pruned(used: DataFrame, edges: DataFrame, protected: DataFrame, threshold: f
     return used.where(F.col("usage") < threshold).join(protection(used, edges, protected, threshold), "node_id", "left_anti")
 
 
-def written(nodes: list[dict], edges: list[dict], dropped: set[str]) -> str:
-    """The grammar without the dropped nodes, as ABNF. nodes and edges are collected rows of one grammar."""
+def written(nodes: list[dict], edges: list[dict], dropped: set[str], asn1: bool = False) -> str:
+    """The grammar without the dropped nodes, as ABNF or as assignments in ASN.1.
+
+    nodes and edges are the collected rows of one grammar.
+    """
     by_id, below = {n["node_id"]: n for n in nodes}, {}
     for e in sorted(edges, key=lambda e: e["pos"]):
         below.setdefault(e["parent_id"], []).append(e["child_id"])
@@ -73,22 +76,27 @@ def written(nodes: list[dict], edges: list[dict], dropped: set[str]) -> str:
         """Empty if nothing is left of the node."""
         if node_id in dropped:
             return ""
-        node = by_id[node_id]
+        kind, name = by_id[node_id]["kind"], by_id[node_id]["name"]
+        if kind in ("terminal", "string-type", "reference"):
+            return name
         parts = [t for t in map(text, below.get(node_id, ())) if t]
-        match node["kind"]:
-            case "terminal" | "reference":
-                return node["name"]
+        if not parts:
+            return ""
+        first, braced = parts[0], "{ " + ", ".join(parts) + " }"
+        match kind:
             case "alternation":
-                return " / ".join(parts)
+                return f"CHOICE {braced}" if asn1 else " / ".join(parts)
+            case "sequence":
+                return f"{name} {braced}" if asn1 else " ".join(parts)
             case "optional":
-                return parts and f"[ {parts[0]} ]" or ""
+                return f"{first} OPTIONAL" if asn1 else f"[ {first} ]"
             case "group":
-                return parts and f"( {parts[0]} )" or ""
-            case "repetition":
-                return parts and node["name"].partition("(")[0] + parts[0] or ""
+                return f"( {first} )"
+            case "repetition" if not asn1:
+                return name.partition("(")[0] + first
             case _:
-                return " ".join(parts)
+                return f"{name} {first}"
 
     ordered = sorted((n for n in nodes if n["kind"] == "rule" and n["node_id"] not in dropped), key=lambda n: n["rule_no"])
     bodies = [(n["name"], text(below[n["node_id"]][0])) for n in ordered]
-    return "".join(f"{name} = {body}\n" for name, body in bodies if body)
+    return "".join(f"{name} {'::=' if asn1 else '='} {body}\n" for name, body in bodies if body)

@@ -10,7 +10,7 @@ from grammarlens.functions.uri import normalized
 from grammarlens.operators import der, evidence, hits, prune, recognize, rejects
 from grammarlens.plans import corpus
 from grammarlens.plans.tables import table
-from grammarlens.sources import abnf
+from grammarlens.sources import abnf, asn1
 from grammarlens.streaming import incremental
 
 URI, X509 = "rfc3986-uri", "rfc5280-x509"
@@ -123,6 +123,13 @@ def der_hits(spark: SparkSession, sf: str) -> DataFrame:
     return hits.hits(walked).select(F.col("node_id").alias("place"), "hits")
 
 
+def certificate_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node of the certificate types, and in how many certificates it is used."""
+    walked = der.walked(_certificates(spark, sf), typed=(X509, asn1.vendored())).withColumn("grammar", F.lit(X509))
+    nodes, _ = abnf.graph(spark, X509, asn1.rules(asn1.vendored()))
+    return hits.usage(nodes, hits.hits(walked), hits.totals(walked)).select("node_id", "kind", "name", "hits", "total_samples")
+
+
 def log_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Certificates wrapped as entries of a transparency log, half of them as precertificates, and read back."""
     rows = _certificates(spark, sf)
@@ -155,7 +162,7 @@ _NODES = "(values " + ", ".join(f"('{n}', '{k}', '{name}')" for n, k, name in ab
 
 QUERIES = {
     f.__name__: f
-    for f in (node_hits, sample_totals, shard_hits_merged, streamed_hits, uri_node_usage, uri_matches, node_usage, pruned_nodes, rare_nodes, verdicts, restorable_nodes, submission_problems, distinct_certificates, der_hits, log_entries)
+    for f in (node_hits, sample_totals, shard_hits_merged, streamed_hits, uri_node_usage, uri_matches, node_usage, pruned_nodes, rare_nodes, verdicts, restorable_nodes, submission_problems, distinct_certificates, der_hits, certificate_nodes, log_entries)
 }
 ORACLES = {
     "uri_matches": f"select stratum, count(*) as uris, count(*) filter (where regexp_full_match(uri, '{corpus.oracle_pattern('URI')}')) as matched from (select distinct stratum, uri from {corpus.NORMALIZED} where uri is not null and not starts_with(uri, '#') and strlen(uri) <= 8192) group by 1",

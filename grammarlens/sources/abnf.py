@@ -114,19 +114,19 @@ def _walk(grammar: str, rule: str, no: int, node: Node, path: str, parent: str,
         yield from _walk(grammar, rule, no, child, f"{path}>{child.kind}:{child.tag}:{i}", own, i)
 
 
-def listed(grammar: str, text: str) -> list[tuple[str, str, str]]:
-    """Id, kind and name of every node."""
+def listed(grammar: str, source: str | dict[str, Node]) -> list[tuple[str, str, str]]:
+    """Id, kind and name of every node. source is ABNF or rules that were read already."""
     out = []
-    for no, (rule, body) in enumerate(rules(text).items()):
+    for no, (rule, body) in enumerate((rules(source) if isinstance(source, str) else source).items()):
         out.append((node_id(grammar, rule, rule), "rule", rule))
         out += [(n[1], n[2], n[3].replace("'", "''")) for n, _ in _walk(grammar, rule, no, body, f"{rule}>body", "", 0)]
     return out
 
 
-def graph(spark: SparkSession, grammar: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a grammar. Its first rule is the root."""
+def graph(spark: SparkSession, grammar: str, source: str | dict[str, Node]) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a grammar, which is ABNF or rules that were read already. The first rule is the root."""
     nodes, edges = [], []
-    for no, (rule, body) in enumerate(rules(text).items()):
+    for no, (rule, body) in enumerate((rules(source) if isinstance(source, str) else source).items()):
         own = node_id(grammar, rule, rule)
         nodes.append((grammar, own, "rule", rule, rule, no, no == 0))
         for node, edge in _walk(grammar, rule, no, body, f"{rule}>body", own, 0):
