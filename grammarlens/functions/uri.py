@@ -26,10 +26,12 @@ def is_listed(raw: Column) -> Column:
 
 
 def host(uri: Column) -> Column:
-    """Between the first :// and the port; null without an authority, for bracketed hosts and if empty."""
-    after = F.when(F.instr(uri, "://") > 0, F.substring(uri, F.instr(uri, "://") + 3, F.length(uri)))
-    authority = F.substring_index(F.regexp_extract(after, "^[^/?#]*", 0), "@", -1)
-    return F.when(~authority.startswith("["), F.nullif(F.substring_index(authority, ":", 1), F.lit("")))
+    """Between the first :// and the port; null without an authority, for bracketed hosts and if empty.
+
+    One expression that names its column once: what is found first (the ://, the last @ of
+    the authority) is not given back.
+    """
+    return F.nullif(F.regexp_extract(uri, r"^(?>[\s\S]*?://)(?:[^/?#]*@)?+([^/?#@:\[][^/?#@:]*+)", 1), F.lit(""))
 
 
 def suffix_rules(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -20,7 +20,7 @@ PROTECTED = ("userinfo", "port", "IP-literal", "IPv4address", "IPv6address", "fr
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
-    return hits.latest(table(spark, sf, "parse_visits"))
+    return hits.once(table(spark, sf, "parse_visits"))
 
 
 def node_hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,6 +160,22 @@ def _certs_sql() -> str:
 
 _NODES = "(values " + ", ".join(f"('{n}', '{k}', '{name}')" for n, k, name in abnf.listed(URI, abnf.vendored())) + ") n(node_id, kind, name)"
 
+_EDGES = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in abnf.linked(URI, abnf.vendored())) + ") e(parent, child)"
+_PRUNED = f"""
+with recursive used as (select node_id, kind, name, coalesce(hits, 0) as hits, coalesce(hits, 0) / (select total_samples from {_TOTALS} where grammar = '{URI}') as usage
+  from {_NODES} left join (select * from {_HITS} where grammar = '{URI}') using (node_id)),
+edges as (select * from {_EDGES}),
+refs as (select r.node_id, t.node_id as rule_id, t.usage from used r join used t on t.kind = 'rule' and t.name = r.name where r.kind = 'reference'),
+ours as (select node_id from used where kind = 'rule' and name in {PROTECTED}),
+down as (select parent, child from edges union all select node_id, rule_id from refs where usage < {THRESHOLD}),
+keep as (select node_id from ours union select child from keep join down on parent = node_id),
+back as (select node_id from refs where rule_id in (select node_id from ours)),
+around as (select node_id from back union select parent from around join edges on child = node_id where parent not in (select node_id from used where kind = 'rule')),
+beside as (select child as node_id from edges where parent in (select node_id from around where node_id not in (select node_id from back) and node_id in (select node_id from used where kind = 'sequence'))
+  and child in (select node_id from used where kind = 'terminal'))
+select node_id, hits from used where usage < {THRESHOLD} and node_id not in (select node_id from keep union select node_id from around union select node_id from beside)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (node_hits, sample_totals, shard_hits_merged, streamed_hits, uri_node_usage, uri_matches, node_usage, pruned_nodes, rare_nodes, verdicts, restorable_nodes, submission_problems, distinct_certificates, der_hits, certificate_nodes, log_entries)
@@ -171,6 +187,7 @@ ORACLES = {
     "shard_hits_merged": f"select * from {_HITS}",
     "streamed_hits": "select grammar, node_id, count(distinct visit_row) as hits from (select grammar, visit_row, unnest(visited) as node_id from parse_visits where is_matched) where node_id is not null group by 1, 2",
     "node_usage": f"select node_id, kind, name, coalesce(hits, 0) as hits, total_samples, round(coalesce(hits, 0) / total_samples, 9) as usage from {_NODES} left join (select * from {_HITS} where grammar = '{URI}') using (node_id), (select total_samples from {_TOTALS} where grammar = '{URI}')",
+    "pruned_nodes": _PRUNED,
     "rare_nodes": f"select * from {_RARE}",
     "verdicts": f"""select sample_id, error is null as accepted, error, case when error = 'UNSUPPORTED_NODE' then hit end as node_id from (
  select sample_id, hit, case when coalesce(len(visited), 0) > 16384 then 'BOUNDS_EXCEEDED' when not coalesce(is_matched, false) then 'MALFORMED' when hit is not null then 'UNSUPPORTED_NODE' end as error

@@ -123,6 +123,12 @@ def listed(grammar: str, source: str | dict[str, Node]) -> list[tuple[str, str,
     return out
 
 
+def linked(grammar: str, source: str | dict[str, Node]) -> list[tuple[str, str]]:
+    """Parent and child of every edge."""
+    every = (rules(source) if isinstance(source, str) else source).items()
+    return [(e[1], e[3]) for no, (rule, body) in enumerate(every) for _, e in _walk(grammar, rule, no, body, f"{rule}>body", node_id(grammar, rule, rule), 0)]
+
+
 def graph(spark: SparkSession, grammar: str, source: str | dict[str, Node]) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a grammar, which is ABNF or rules that were read already. The first rule is the root."""
     nodes, edges = [], []

@@ -89,3 +89,12 @@ def test_index_reads_one_column(spark, tmp_path):
     df = lists.read_index(spark, [str(tmp_path / "x")])
     assert [r.uri for r in df.collect()] == ["a"]
     assert "n:int" not in df._jdf.queryExecution().toString().split("Physical")[1]
+
+
+def test_one_delivery_of_each_sample(spark, monkeypatch):
+    rows = [(1, 10, 5), (1, 9, 5), (1, 8, 7), (2, 3, 1), (3, 4, 2), (3, 5, 1)]
+    df = spark.createDataFrame(rows, "sample_id long, visit_row long, parsed_at int")
+    for most in (0, 100):
+        monkeypatch.setattr(hits, "MOST_DROPPED", most)
+        assert {(r.sample_id, r.visit_row) for r in hits.once(df).collect()} == {(1, 9), (2, 3), (3, 5)}
+    assert hits.once(df.where("false")).count() == 0
