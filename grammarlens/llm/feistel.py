@@ -50,10 +50,22 @@ def permuted(df: DataFrame, number: str) -> DataFrame:
     return out
 
 
-def permuted_sql(source: str, number: str, seed: str, columns: str) -> str:
-    """The same in DuckDB: columns of source, and hi and lo of number under seed."""
+def text_key(text: str) -> str:
+    """The 64-bit key of a text as SQL: the first half of its MD5."""
+    part = lambda at: f"cast(conv(substring(md5({text}), {at}, 8), 16, 10) as bigint)"
+    return f"shiftleft({part(1)}, 32) | {part(9)}"
+
+
+def text_key_sql(text: str) -> tuple[str, str]:
+    """The halves of text_key in DuckDB."""
+    return tuple(f"cast('0x' || substr(md5({text}), {at}, 8) as bigint)" for at in (1, 9))
+
+
+def permuted_sql(source: str, number: str | tuple[str, str], seed: str, columns: str) -> str:
+    """The same in DuckDB: columns of source, and hi and lo of number (or of its two halves) under seed."""
     keys = ", ".join(f"cast({k} as bigint) as k{i}" for i, k in enumerate(keys_sql(seed, "duckdb")))
-    sql = f"select {columns}, {keys}, ({number}) >> 32 as hi, ({number}) & {MASK} as lo from {source}"
+    hi, lo = (f"({number}) >> 32", f"({number}) & {MASK}") if isinstance(number, str) else number
+    sql = f"select {columns}, {keys}, {hi} as hi, {lo} as lo from {source}"
     for i in range(ROUNDS):
         sql = f"select * replace (lo as hi, xor(hi, {_round('lo', f'k{i}', i, 'xor({}, {})')}) as lo) from ({sql})"
     return f"select * exclude ({', '.join(f'k{i}' for i in range(ROUNDS))}) from ({sql})"

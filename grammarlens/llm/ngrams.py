@@ -101,12 +101,11 @@ def counted(records: DataFrame, terms: str, longest: int = 1) -> DataFrame:
     return popped.groupBy("gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def marked(grams: DataFrame, total: DataFrame, rare_under: float = 0.002, common_over: float = 0.9) -> DataFrame:
+def marked(grams: DataFrame, total_samples: int, rare_under: float = 0.002, common_over: float = 0.9) -> DataFrame:
     """grams with total_samples and a mark: rare, common, or null.
 
-    total is one row with total_samples. Both limits are exact: counts are compared as
-    whole numbers of a millionth.
+    Both limits are exact: counts are compared as whole numbers of a millionth.
     """
     low, high = round(rare_under * 1e6), round(common_over * 1e6)
-    share = F.expr(f"case when records > 0 and records * 1000000L < total_samples * {low}L then 'rare' when records * 1000000L > total_samples * {high}L then 'common' end")
-    return grams.join(F.broadcast(total)).withColumn("mark", share)
+    mark = F.expr(f"case when records > 0 and records * 1000000L < total_samples * {low}L then 'rare' when records * 1000000L > total_samples * {high}L then 'common' end")
+    return grams.withColumn("total_samples", F.lit(total_samples).cast("bigint")).withColumn("mark", mark)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from grammarlens.functions import uri as U
 from grammarlens.llm import copies, feistel, mixing, ngrams, packing, pii, reservoir, tokens
+from grammarlens.operators import hits
+from grammarlens.plans import corpus
 from grammarlens.plans.tables import table
 
 _STRIP = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -26,7 +28,7 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
         .where("src_file is not null and ord is not null")
         .select("stratum", "src_file", "ord", U.normalized(F.col("raw_uri")).alias("uri"))
         .where("uri is not null and not startswith(uri, '#')")
-        .withColumn("uri_key", F.xxhash64("uri"))
+        .withColumn("uri_key", F.expr(feistel.text_key("uri")))
     )
     strata = table(spark, sf, "strata").where("sample_rate > 0").select("run_id", "stratum_idx", "stratum", "seed", "sample_rate")
     # A table of runs and strata, of fixed size; the keys are made on this side.
@@ -36,6 +38,13 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("run_id", "stratum_idx", "stratum", "src_file", "ord", "uri").distinct()
 
 
+_KEYED = f"(select n.*, s.run_id, s.stratum_idx, s.seed, s.sample_rate from {corpus.NORMALIZED} n join strata s using (stratum) where uri is not null and not starts_with(uri, '#') and s.sample_rate > 0)"
+_P1 = f"""
+select distinct run_id, stratum_idx, stratum, src_file, ord, uri from ({feistel.permuted_sql(_KEYED, feistel.text_key_sql('uri'), 'seed', '*')})
+where sample_rate >= 1 or hi < floor(sample_rate * 4294967296) or (hi = floor(sample_rate * 4294967296) and lo < floor((sample_rate * 4294967296 - floor(sample_rate * 4294967296)) * 4294967296))
+"""
+
+
 # --- 3: samples of fixed size ------------------------------------------------------------
 
 
@@ -72,6 +81,12 @@ select run_id, rec_id, src_file, ord, stratum from (
 """
 
 
+_P3R = f"""
+select r.run_id, r.target_n, k.stratum, coalesce(k.kept, 0) as kept, coalesce(sum(k.kept) over (partition by r.run_id), 0)::bigint as total_written
+from sample_runs r left join (select run_id, stratum, count(*) as kept from ({_P3}) group by 1, 2) k using (run_id)
+"""
+
+
 # --- 4: mixing strata to weights ---------------------------------------------------------
 
 
@@ -116,6 +131,21 @@ where total_written is null and coalesce(n, 0) * max_repeats < share
 """
 
 
+_QUOTA = """(select * exclude (fl, ex, sm), fl + case when row_number() over (partition by run_id order by round(ex - fl, 9) desc, stratum_idx) <= (case when sm > 0 then target_n else 0 end) - sum(fl) over (partition by run_id) then 1 else 0 end as goal
+ from (select *, cast(floor(ex + 1e-9) as bigint) as fl from (select *, case when sm > 0 then target_n * weight / sm else 0 end as ex
+ from (select s.*, r.target_n, sum(weight) over (partition by run_id) as sm from strata s join sample_runs r using (run_id)))))"""
+_GIVEN = f"(select q.*, coalesce(n, 0) as n, least(goal, coalesce(n, 0) * max_repeats) as given from {_QUOTA} q left join (select stratum, count(*) as n from {_POSITIONS} group by 1) using (stratum))"
+_P4M = f"""
+select run_id, stratum_idx, stratum, rec_id, src_file, ord, copies from (select *, given // n + case when rk <= given % n then 1 else 0 end as copies from (
+ select *, row_number() over (partition by run_id, stratum_idx order by hi, lo) as rk from (
+  {feistel.permuted_sql(f'(select p.*, g.run_id, g.stratum_idx, g.seed, g.n, g.given from {_POSITIONS} p join {_GIVEN} g using (stratum) where g.given > 0)', 'rec_id', 'seed', '*')}))) where copies > 0
+"""
+_P4R = f"""
+select run_id, stratum_idx, stratum, goal as target, given as kept, case when n > 0 then (given + n - 1) // n else 0 end as most_copies,
+ round(coalesce(given / nullif(sum(given) over (partition by run_id), 0), 0), 6) as actual_share from {_GIVEN}
+"""
+
+
 # --- 5: lines that differ in writing only ------------------------------------------------
 
 
@@ -155,20 +185,11 @@ _P5R = f"select min(uri_id) as keep_id, arg_min(uri, uri_id) as uri, count(*) as
 _GRAMMAR = "rfc3986-uri"
 
 
-def _samples(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The matched samples, each once, and one row with the number of all samples.
-
-    Of a redelivered sample one matched delivery is taken: the last, then that of the
-    greatest row number.
-    """
+def _samples(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The matched samples, each in its first matched delivery, and the number of all samples."""
     visits = table(spark, sf, "parse_visits").where(F.col("grammar") == _GRAMMAR)
-    total = visits.agg(F.countDistinct("sample_id").alias("total_samples"))
-    matched = visits.where("is_matched")
-    # Only the numbers are grouped; the arrays of nodes aren't shuffled to find repeats.
-    delivered = matched.groupBy("sample_id").agg(F.count("*").alias("n"), F.max(F.struct("parsed_at", "visit_row")).alias("last"))
-    repeats = delivered.where("n > 1").select("sample_id", F.col("last.visit_row").alias("last_row"))
-    once = matched.join(repeats, "sample_id", "left").where("last_row is null or visit_row = last_row")
-    return once.select("sample_id", "visited"), total
+    total = visits.agg(F.countDistinct("sample_id")).first()[0]
+    return hits.once(visits.where("is_matched")).select("sample_id", "visited"), total
 
 
 def _nodes(spark: SparkSession, sf: str, longest: int = 1) -> DataFrame:
@@ -186,10 +207,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """The same for sequences of up to three nodes visited one after the other."""
-    return _nodes(spark, sf, 3).select("gram", F.col("occurrences").alias("visits"), F.col("records").alias("hits"), "total_samples", "mark")
+    return _nodes(spark, sf, 3).select(F.array_join("gram", " ").alias("nodes"), F.col("occurrences").alias("visits"), F.col("records").alias("hits"), "total_samples", "mark")
 
 
-_ONE = f"(select sample_id, arg_max(visited, (parsed_at, visit_row)) as visited from parse_visits where grammar = '{_GRAMMAR}' and is_matched group by 1)"
+_ONE = f"(select sample_id, arg_min(visited, (parsed_at, visit_row)) as visited from parse_visits where grammar = '{_GRAMMAR}' and is_matched group by 1)"
 _P6 = f"""
 select node_id, visits, hits, total_samples, case when hits < 0.002 * total_samples then 'rare' when hits > 0.9 * total_samples then 'common' end as mark
 from (select node_id, count(*) as visits, count(distinct sample_id) as hits from (select sample_id, unnest(visited) as node_id from {_ONE}) where node_id is not null group by 1),
@@ -197,6 +218,14 @@ from (select node_id, count(*) as visits, count(distinct sample_id) as hits from
 """
 
 
+_P6S = f"""
+select nodes, visits, hits, total_samples, case when hits < 0.002 * total_samples then 'rare' when hits > 0.9 * total_samples then 'common' end as mark
+from (select nodes, count(*) as visits, count(distinct sample_id) as hits from (
+ select sample_id, array_to_string(visited[i:i + n - 1], ' ') as nodes from (select sample_id, visited, unnest(range(1, len(visited) + 1)) as i from {_ONE}), (values (1), (2), (3)) k(n) where i + n - 1 <= len(visited)) group by 1),
+(select count(distinct sample_id) as total_samples from parse_visits where grammar = '{_GRAMMAR}')
+"""
+
+
 # --- 7: encoding; 8: packing -------------------------------------------------------------
 
 
@@ -233,10 +262,15 @@ QUERIES = {
     for f in (p1_sample, p3_sample, p3_report, p4_found, p4_mix, p4_report, p5_found, p5_records, p6_nodes, p6_found, p6_sequences, p7_ids, p8_pack, p8_usage, p8_found, p9_text, p9_found)
 }
 ORACLES = {
+    "p1_sample": _P1,
     "p3_sample": _P3,
+    "p3_report": _P3R,
     "p4_found": _P4,
+    "p4_mix": _P4M,
+    "p4_report": _P4R,
     "p5_found": _P5,
     "p5_records": _P5R,
     "p6_nodes": _P6,
+    "p6_sequences": _P6S,
     "p6_found": f"select node_id, mark from ({_P6}) where mark is not null",
 }

@@ -7,8 +7,8 @@ the left that the end can't have shaped is the start of a window that is cut and
 anew over the border and grows until one of its pieces begins where a piece of the right
 begins. The pattern looks ahead by at most LOOK characters and never back, so from a
 common beginning on both cut alike for good, and what stands left and right of the window
-is proven to be the encoding of the whole. Joining is associative, so long texts are also
-spread over tasks: their leaves are encoded anywhere and joined in rounds.
+is proven to be the encoding of the whole. Joining is associative, so the leaves of very
+long texts can also be spread over tasks and joined in rounds.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from grammarlens.session import staged
 #: Where the vocabularies of public tokenizers are; a parameter of everything below.
 VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of a leaf; characters of a text from which on its leaves become rows; leaves joined in one round.
-LEAF, LONG, FAN = 1 << 15, 1 << 20, 64
+#: Characters of a leaf; leaves that are joined in one round where they are spread over tasks.
+LEAF, FAN = 1 << 15, 64
 #: How far from its beginning a match of the pattern may depend on the text, beside the character after its end.
 LOOK = 3
 WINDOW = 256
@@ -179,17 +179,19 @@ def _long(documents: DataFrame, kind: str, vocabulary: str, chars: int) -> DataF
     return parts.select("key", F.col("ids").cast("array<int>").alias("ids"))
 
 
-def ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, long: int = LONG) -> DataFrame:
+def ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, spread_over: int | None = None) -> DataFrame:
     """key and ids of every document.
 
     Null and empty texts have an empty list; strings of special tokens are ordinary text;
     repeated and null keys are encoded row by row; an empty table gives no rows; extra
-    columns are dropped, whatever their names.
+    columns are dropped, whatever their names. Every text is encoded by one task, which
+    takes a second for some million characters; with spread_over, texts of more characters
+    than that are spread over tasks instead, at the price of a second scan.
     """
     kind = documents.schema[key].dataType.simpleString()
     texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    short = texts.where(f"text is null or length(text) <= {long}").mapInArrow(lambda it: _short(it, vocabulary), f"key {kind}, ids array<int>")
-    over = texts.where(f"length(text) > {long}")
-    if over.limit(1).count():
-        short = short.unionByName(_long(over, kind, vocabulary, max(1, long // 4)))
-    return short.withColumnRenamed("key", key)
+    fits = F.lit(True) if spread_over is None else F.col("text").isNull() | (F.length("text") <= spread_over)
+    out = texts.where(fits).mapInArrow(lambda it: _short(it, vocabulary), f"key {kind}, ids array<int>")
+    if spread_over is not None:
+        out = out.unionByName(_long(texts.where(~fits), kind, vocabulary, max(1, spread_over // 4)))
+    return out.withColumnRenamed("key", key)

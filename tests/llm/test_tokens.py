@@ -29,8 +29,9 @@ def test_documents(spark):
     long = "".join(rng.choices(["a", " ", "  ", "\n", "'ll", "é", "1", "word ", "日"], k=60_000))
     rows = [(1, None), (2, ""), (3, "hello <|endoftext|>"), (3, "hello <|endoftext|>"), (None, "x"), (4, long), (4, long), (5, " " * 70_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as row")
-    for limit in (1 << 20, 30_000):  # the second sends the long texts over tasks
-        got = sorted(((r.doc_id or 0, r.ids) for r in tokens.ids(df, long=limit).collect()), key=lambda x: (x[0], len(x[1])))
+    for limit in (None, 30_000):  # the second spreads the long texts over tasks
+        got = sorted(((r.doc_id or 0, r.ids) for r in tokens.ids(df, spread_over=limit).collect()), key=lambda x: (x[0], len(x[1])))
         want = sorted(((d or 0, whole(t) if t else []) for d, t in rows), key=lambda x: (x[0], len(x[1])))
         assert got == want
     assert tokens.ids(df.where("false")).count() == 0
+    assert tokens.ids(df.where("false"), spread_over=1).count() == 0
