@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grammarlens.session import staged
+
 #: What str.strip() takes for white space, as a class of Java's regular expressions.
 SPACE = r"[\s\u001c-\u001f\u0085   -     　]"
 CONTROL = r"[\u0000-\u001f\u007f-\u009f]"
@@ -51,7 +53,8 @@ def registrable_domains(hosts: DataFrame, rules: DataFrame, column: str = "host"
     if they are small enough by their own size.
     """
     labels = F.split(F.lower(F.regexp_replace(stripped(F.col("host")), r"\.+$", "")), r"\.")
-    parts = hosts.select(F.col(column).alias("host")).where("host is not null").distinct().withColumn("_labels", labels)
+    distinct = staged(hosts.select(F.col(column).alias("host")).distinct().where("host is not null"), "hosts")
+    parts = distinct.withColumn("_labels", labels)
     sound = "not exists(_labels, l -> l = '' or contains(l, ':') or contains(l, '/'))"
     tails = F.expr(
         "flatten(transform(sequence(1, size(_labels)), n -> array("

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from grammarlens.session import staged
+
 
 def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """For each key the first place in order: keys and order columns. Null keys are one key.
@@ -25,6 +27,8 @@ def capped(rows: DataFrame, bucket: str, uri: str, order: list[str], cap: int |
     once = first_seen(rows.withColumn(bucket, F.coalesce(bucket, F.lit(""))), [*scope, bucket, uri], order)
     if cap is None:
         return once
+    # Written once; else both branches below would scan and aggregate everything.
+    once = staged(once, "once")
     free, bound = once.where(F.col(bucket) == ""), once.where(F.col(bucket) != "")
     rank = F.row_number().over(W.partitionBy(*scope, bucket).orderBy(*order))
     return bound.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank").unionByName(free)
