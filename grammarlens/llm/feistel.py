@@ -85,7 +85,7 @@ def sample(rows: DataFrame, number: str, seed: str = "seed", rate: str = "sample
     Stateless: no row's fate depends on another row, so a sample stays the same in
     every layout and only grows as rows are added or a rate is raised. Null numbers,
     null rates and rates of 0 or less select nothing; a null seed counts as 0; equal
-    numbers share their fate.
+    numbers share their fate; all columns come back, whatever their names.
     """
-    keyed = with_keys(rows.where(F.col(number).isNotNull()), seed)
-    return permuted(keyed, number).where(under_rate(rate)).drop(HI, LO)
+    packed = rows.where(F.col(number).isNotNull()).select(F.struct("*").alias("_row"), F.col(number).alias("_number"), F.col(seed).alias("_seed"), F.col(rate).alias("_rate"))
+    return permuted(with_keys(packed, "_seed"), "_number").where(under_rate("_rate")).select("_row.*")

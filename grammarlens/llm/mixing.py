@@ -94,7 +94,8 @@ def mixture(records: DataFrame, number: str, source: str, wanted: DataFrame, gro
 
     All records have size 1 here, as targets are numbers of records, so all records of a
     source have the same rate. wanted comes from balanced(), with the number of records
-    (n) of its source. Records with a null source or number are never used.
+    (n) of its source. Records with a null source or number are never used; of a record's
+    columns those named like group or copies don't come back.
     """
     whole = (
         wanted.where(f"n > 0 and {goal} > 0")
@@ -104,7 +105,9 @@ def mixture(records: DataFrame, number: str, source: str, wanted: DataFrame, gro
         .withColumn("_base", F.expr("case when _base * n > _total then _base - 1 else _base end"))
         .withColumn("_extra", F.expr("_total - _base * n"))
     )
-    keyed = with_keys(whole.select(*group, source, "_base", "_extra", seed), seed).drop(seed)
-    offered = permuted(records.where(F.col(number).isNotNull()).join(F.broadcast(keyed), source), number)
+    row = F.struct(*(F.col(f"`{c}`") for c in records.columns if c not in (*group, "copies")))
+    packed = records.where(F.col(number).isNotNull()).select(row.alias("_row"), F.col(number).alias("_number"), F.col(source).alias("_source"))
+    keyed = with_keys(whole.select(*group, F.col(source).alias("_source"), "_base", "_extra", F.col(seed).alias("_seed")), "_seed").drop("_seed")
+    offered = permuted(packed.join(F.broadcast(keyed), "_source"), "_number")
     placed = marked(offered, group, whole, "_extra")
-    return placed.withColumn("copies", F.expr("_base + cast(_in as bigint)")).where("copies > 0").select(*group, *(c for c in records.columns if c not in group), "copies")
+    return placed.withColumn("copies", F.expr("_base + cast(_in as bigint)")).where("copies > 0").select(*group, "_row.*", "copies")

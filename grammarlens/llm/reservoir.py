@@ -46,12 +46,14 @@ def fixed_size(records: DataFrame, number: str, runs: DataFrame, run: str = "run
     """For each run exactly size records, each equally likely, or all if there are fewer.
 
     records must be distinct in number. runs is a small table (its rows are runs of a
-    sampler). Null or non-positive sizes give no rows; null numbers are never drawn;
-    columns of records that are also in runs are an error, so select before.
+    sampler). Null or non-positive sizes give no rows; null numbers are never drawn; of the
+    records all columns come back but one that is named like run.
     """
     drawn = runs.where(F.col(size) > 0)
-    offered = permuted(for_each(records.where(F.col(number).isNotNull()), with_keys(drawn.select(run, size, seed), seed).drop(size, seed)), number)
-    return smallest(thinned(offered, drawn, run, size), [run], drawn, size, "_halvings").select(run, *records.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in records.columns if c != run))
+    packed = records.where(F.col(number).isNotNull()).select(row.alias("_row"), F.col(number).alias("_number"))
+    offered = permuted(for_each(packed, with_keys(drawn.select(run, F.col(seed).alias("_seed")), "_seed").drop("_seed")), "_number")
+    return smallest(thinned(offered, drawn, run, size), [run], drawn, size, "_halvings").select(run, "_row.*")
 
 
 def for_each(records: DataFrame, runs: DataFrame) -> DataFrame:

@@ -144,4 +144,23 @@ def test_too_many_runs_are_refused(spark):
         reservoir.fixed_size(spark.range(3).withColumnRenamed("id", "n"), "n", runs)
 
 
+CLASHES = ("_hi", "_lo", "_k0", "_k", "_b", "_in", "_row", "_number", "_seed", "_rate", "_cut", "_base", "_extra", "_halvings", "_source", "run_id", "stratum_idx", "copies", "target_n", "seed", "a.b")
+
+
+def test_columns_of_any_name_come_through(spark):
+    extra = [F.lit("x").alias(c) for c in CLASHES]
+    records = spark.range(50).select(F.col("id").alias("n"), F.lit("a").alias("stratum"), *extra)
+    runs = spark.createDataFrame([(1, 3, 20)], "run_id long, seed long, target_n long")
+    got = reservoir.fixed_size(records, "n", runs)
+    assert got.count() == 20 and set(got.columns) == {"n", "stratum", *CLASHES}
+    assert {r["_hi"] + r["a.b"] for r in got.collect()} == {"xx"}
+    sampled = feistel.sample(records.drop("seed").withColumn("seed", F.lit(1).cast("long")).withColumn("sample_rate", F.lit(1.0)), "n")
+    assert sampled.count() == 50 and set(sampled.columns) == {"n", "stratum", "sample_rate", *CLASHES}
+    sizes = spark.createDataFrame([("a", 1, 50)], "stratum string, size int, n long")
+    want = wanted(spark, [(1, 0, "a", 70.0, 70, 2, 7, 50)])
+    solved = mixing.balanced(want, sizes, ["run_id", "stratum_idx"], "stratum", "share", "max_repeats")
+    mixed = mixing.mixture(records, "n", "stratum", solved, ["run_id", "stratum_idx"], "target", "max_repeats", "seed")
+    assert set(mixed.columns) == {"n", "stratum", *CLASHES} and sum(r.copies for r in mixed.collect()) == 70
+
+
 random.seed(0)
