@@ -47,8 +47,8 @@ def balanced(wanted: DataFrame, sizes: DataFrame, group: list[str], source: str,
     """wanted with the multiplier of each group, its rate mass and whether the goal is in reach.
 
     wanted: one row for each group (run and source), with goal and cap. sizes: for each
-    source, how many records of each size it has. A goal of 0 has rate 0; a source
-    without records, or one whose records all at the cap stay under the goal, is out of
+    source, how many records of each size it has. A goal of 0 is always reached and has rate 0; a source
+    without records for its goal, or one whose records all at the cap stay under the goal, is out of
     reach: there the dual has no maximum and the rates end at the cap.
     """
     points = staged(wanted.select(*group, source, goal, cap).join(sizes, source, "left"), "balance")
@@ -56,7 +56,8 @@ def balanced(wanted: DataFrame, sizes: DataFrame, group: list[str], source: str,
     # One number for each run and source, from a table of runs: small whatever the data.
     state = {tuple(r[g] for g in group): r.asDict() for r in full.collect()}
     for s in state.values():
-        s["_reach"] = s["_full"] is not None and s["_full"] >= s["_goal"]
+        s["_full"] = s["_full"] or 0
+        s["_reach"] = s["_full"] >= s["_goal"]
         s["_mult"] = 0.0 if s["_once"] and s["_goal"] > 0 else None
         s["_low"], s["_high"] = -700.0 / (s["_widest"] or 1), 700.0 / (s["_widest"] or 1)
         if s["_mult"] is not None and s["_full"] == s["_goal"]:

@@ -169,14 +169,16 @@ def p5_records(spark: SparkSession, sf: str) -> DataFrame:
     return alone.select("uri_id", "uri", F.lit(1).cast("bigint").alias("copies")).unionByName(kept.select("uri_id", "uri", "copies")).withColumnRenamed("uri_id", "keep_id")
 
 
+def _reduced(sql: str) -> str:
+    return rf"lower(upper(regexp_replace({sql}, '[^\p{{L}}\p{{Nd}}]+', '', 'g')))"
+
+
+_PARAMETERS = f"list_sort(list_filter(list_transform(regexp_split_to_array(query, '[&;]'), lambda p: {_reduced('p')}), lambda p: p <> ''))"
 _FORMS = rf"""
-(select uri_id, uri, low(head) || '?' || coalesce(array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(query, '[&;]'), lambda p: low(p)), lambda p: p <> '')), '&'), '') || '#' || low(fragment) as form
+(select uri_id, uri, {_reduced('head')} || '?' || coalesce(array_to_string({_PARAMETERS}, '&'), '') || '#' || {_reduced('fragment')} as form
 from (select uri_id, uri, regexp_extract(uri, '^([^?#]*)', 1) as head, regexp_extract(uri, '^[^?#]*\?([^#]*)', 1) as query, regexp_extract(uri, '^[^#]*#(.*)$', 1, 's') as fragment
 from (select uri_id, uri from submission_uris union all select uri_id, uri from uri_sample) where regexp_matches(uri, '^{_STRIP}*[^{_STRIP[1:-1]}#]')))
 """
-_FORMS = _FORMS.replace("low(head)", "LOW(head)").replace("low(p)", "LOW(p)").replace("low(fragment)", "LOW(fragment)")
-for _x in ("head", "p", "fragment"):
-    _FORMS = _FORMS.replace(f"LOW({_x})", rf"lower(upper(regexp_replace({_x}, '[^\p{{L}}\p{{Nd}}]+', '', 'g')))")
 _P5 = f"select min(uri_id) over (partition by form) as keep_id, uri_id as dup_id from {_FORMS} qualify keep_id <> dup_id"
 _P5R = f"select min(uri_id) as keep_id, arg_min(uri, uri_id) as uri, count(*) as copies from {_FORMS} group by form"
 

@@ -105,7 +105,7 @@ def wanted(spark, rows):
 
 def test_balanced_rates_meet_their_goals(spark):
     sizes = spark.createDataFrame([("a", 1, 100), ("a", 3, 10), ("b", 1, 5), ("c", 2, 50)], "stratum string, size int, n long")
-    want = [(1, 0, "a", 65.0, 65, 1, 0, 110), (1, 1, "b", 18.0, 18, 3, 0, 5), (1, 2, "b", 14.0, 14, 3, 0, 5), (1, 3, "c", 0.0, 0, 3, 0, 50), (1, 4, "none", 3.0, 3, 3, 0, 0), (2, 0, "a", 300.0, 300, 9, 0, 110), (2, 1, "b", 15.0, 15, 3, 0, 5)]
+    want = [(1, 0, "a", 65.0, 65, 1, 0, 110), (1, 1, "b", 18.0, 18, 3, 0, 5), (1, 2, "b", 14.0, 14, 3, 0, 5), (1, 3, "c", 0.0, 0, 3, 0, 50), (1, 4, "none", 3.0, 3, 3, 0, 0), (1, 5, "none", 0.0, 0, 3, 0, 0), (2, 0, "a", 300.0, 300, 9, 0, 110), (2, 1, "b", 15.0, 15, 3, 0, 5)]
     got = {(r.run_id, r.stratum_idx): r for r in mixing.balanced(wanted(spark, want), sizes, ["run_id", "stratum_idx"], "stratum", "share", "max_repeats").collect()}
     assert {k for k, r in got.items() if not r.reached} == {(1, 1), (1, 4)}
     import math
