@@ -181,9 +181,9 @@ QUERIES = {
 }
 _CAPPED = f"""(select stratum, domain, uri, src_file, ord from (
  select *, row_number() over (partition by stratum, domain order by src_file, ord) as rk from (
-  select stratum, coalesce(domain, '') as domain, uri, (min((src_file, ord))).a as src_file, (min((src_file, ord))).b as ord from (select h.*, d.domain from {_HOSTED} h left join {_DOMAINS} d on d.host = h.own_host)
-  where uri is not null and not starts_with(uri, '#') group by 1, 2, 3)) where rk <= {CAP} or domain = '')"""
-_CAPPED = _CAPPED.replace("(min((src_file, ord))).a", "min({'a': src_file, 'b': ord}).a").replace("(min((src_file, ord))).b", "min({'a': src_file, 'b': ord}).b")
+  select stratum, domain, uri, first.a as src_file, first.b as ord from (
+   select stratum, coalesce(domain, '') as domain, uri, min({{'a': src_file, 'b': ord}}) as first from (select h.*, d.domain from {_HOSTED} h left join {_DOMAINS} d on d.host = h.own_host)
+   where uri is not null and not starts_with(uri, '#') group by 1, 2, 3))) where rk <= {CAP} or domain = '')"""
 _HASH = f"cast('0x' || substr(sha256('{SEED}:' || uri), 1, 15) as bigint)"
 _QUOTAS = f"""(select stratum, fl + case when row_number() over (order by round(ex - fl, 9) desc, stratum) <= {TARGET} - sum(fl) over () then 1 else 0 end as quota
  from (select stratum, ex, cast(floor(ex + 1e-9) as bigint) as fl from (select stratum, {TARGET} * cast(count(*) as double) / sum(count(*)) over () as ex from uri_records group by 1)))"""
