@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -136,6 +137,26 @@ _INTRODUCED = re.compile(
     r"(?:\\author(?:\[[^\]]*\])?\s*\{|\\and|\bauthor\s*=\s*[{\"]|\bdiscussions\s+with|\bthank|\bsent\s+to|\bdetector\s+to|\bcolleague|\bnoticed\s+by|\bletter:|\bask|\bNOTE\(|\bvolunteer\s+\("
     r"|\b(?:Mrs?|Ms|Miss|Dr|Prof)\.)[\s%~]*(?:\b(?:Mrs?|Ms|Dr|Prof)\.[\s~]*)*$"
 )
+#: What stands before or after people, but not only there: confirms a name of which the list has one part.
+_BEFORE = re.compile(
+    r"(?i)(?<![\w\\])(?:by|with|to|from|of|following|after|per|see|via|thank\w*|acknowledg\w+|met|meet\w*|visit\w*|contact\w*|consult\w*|invit\w+|ask\w*|told|tell|remember\w*|join\w*|congratulat\w+|credit\w*"
+    r"|colleagues?|co-?authors?|collaborators?|students?|advis[eo]rs?|supervisors?|friends?|teachers?|editors?|referees?|authors?|professor|doctor|sir|lady"
+    r"|von|mit|durch|bei|dank\w*|herrn?|frau|kolleg\w+|par|avec|chez|merci|monsieur|madame|mm?e|mlle|por|con|gracias|señora?|sra?)\b\.?[\s~:({]*$"
+)
+_AFTER = re.compile(
+    r"[})]*,?\s++(?:(?:who|whom|whose)\b|(?:(?:has|had|have|also|first|kindly|independently)\s+){0,2}(?:pointed\s+out|noted|noticed|suggested|asked|wrote|said|told|showed|proposed|found|observed|explained|provided|helped|kindly|agreed|remarked|conjectured|reported)\b)"
+)
+#: Between the people of a list; a title may follow.
+_LISTED = r"\s*+(?:[,;]\s*+(?:(?:and|und|et|y)\b|\\?&)?|\\and\b|(?<=[\s~])(?:and|und|et|y|\\?&)(?=[\s~]))[\s~]*+(?:(?:Mrs?|Ms|Dr|Prof)\.[\s~]*+)*+"
+_LISTED_AFTER, _LISTED_BEFORE = re.compile(_LISTED), re.compile(rf"(?<![\s,;]){_LISTED}\Z")
+_TO_CONTACT = re.compile(r"(?:(?![.?!;]\s|\r?\n\s*\r?\n)[\s\S])*")
+_FROM_CONTACT = re.compile(r"[ \t~:,(){}<>\-]{0,6}")
+#: Written with a capital at the start of a sentence or of a label, and no names unless the list has them.
+_NO_NAMES = frozenset(
+    "the a an this that these those in on at by for from with to of and or but if as we our they he she it its his her their there here when where while after before since because following"
+    " using let given suppose assume consider note see recall however moreover thus hence then both each every all some any no not new cf per via figure fig table section theorem lemma chapter"
+    " appendix equation proof definition remark algorithm proposition corollary example todo der die das ein eine im am bei mit nach wir von le la les un une des du nous selon par el los las una según por con professor doctor sir lady herr herrn frau monsieur madame señor señora president dean director captain".split()
+)
 _INSTITUTE = re.compile(r"(?i)(?:institut\w*|universit\w*|laborator\w*|foundation|fund|cent(?:er|re)|college|school|academy|museum|society|corpus|hospital|observatory|prize|award|theorem|lemma|conjecture|street|road|lane|avenue|drive|square)")
 _INSTITUTE_BEFORE = re.compile(r"(?i)(?:institut\w*|universit\w*|academy|school|college|cent(?:er|re))\s+(?:of|for|de|du|f[uü]r)\s+(?:the\s+)?$")
 _EPONYM_AFTER = re.compile(r"(?:'s|’s)?\s+(?:Institut\w*|University|Foundation|Fund|Center|Centre|College|School|Laborator\w*|Academy|corpus|lemma|theorem|conjecture|equation|inequality|method|transform|prize|award|algorithm)\b")
@@ -169,21 +190,123 @@ class Names:
         pieces = key.split("-")
         return any(role in self.roles.get(p, ()) for p in pieces) if len(pieces) > 1 or role == "family" else False
 
-    def spans(self, text: str) -> Iterator[Span]:
+    def spans(self, text: str, contacts: list[Span] | None = None) -> Iterator[Span]:
+        """contacts: e-mail addresses and numbers of the text, which confirm names beside them."""
+        sure: list[Span] = []
+        half: list[tuple[Span, list[str]]] = []
         for run in _RUN.finditer(text):
-            yield from self._of_run(text, run.start(), run.end())
-
-    def _of_run(self, text: str, start: int, end: int) -> Iterator[Span]:
+            self._of_run(text, run.start(), run.end(), sure, half)
+        more = list(self._confirmed(text, sure, half, contacts or [])) if half else []
+        # A confirmed one may hold a found one: a given name more.
+        starts = [s.start for s in sure]
+        longer = {sure[i].start for m in more if (i := bisect_right(starts, m.start)) < len(sure) and sure[i].start < m.end}
+        yield from (s for s in sure if s.start not in longer)
+        yield from more
+
+    def _of_run(self, text: str, start: int, end: int, sure: list[Span], half: list[tuple[Span, list[str]]]) -> None:
         tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
         at = 0
         while at < len(tokens):
             got = self._from(text, tokens, at)
             if got:
                 span, at = got
-                yield span
+                sure.append(span)
             else:
+                half += self._half(text, tokens, at)
                 at += 1
 
+    def _half(self, text: str, tokens: list[tuple], at: int) -> list[tuple[Span, list[str]]]:
+        """The name that may begin with this token if the list has only one part of it, or not its first one, and its unlisted words."""
+        kind, word, start, _ = tokens[at]
+        if kind != "word" or self._plain(word):
+            return []
+        if at and tokens[at - 1][0] not in ("comma", "particle") and not (tokens[at - 1][0] == "word" and self._plain(tokens[at - 1][1])):
+            return []
+        words = []
+        for i in range(at, len(tokens)):
+            if tokens[i][0] == "comma":
+                break
+            if tokens[i][0] == "word":
+                words.append(i)
+        if len(words) == 1 and at + 2 < len(tokens) and tokens[at + 1][0] == "comma" and tokens[at + 2][0] == "word":
+            return self._half_turned(text, tokens, at)
+        given = self.has(word, "given")
+        last = next((i for i in words[1:] if self.has(tokens[i][1], "family")), None)
+        if last is None and given:
+            last = next((i for i in words[1:] if not self.has(tokens[i][1], "given")), words[1] if len(words) > 1 else None)
+        if last is None:
+            return []
+        own = [tokens[i][1] for i in words if i <= last]
+        if len(word) < 2 or len(tokens[last][1]) < 2 or any(self._plain(w) or _INSTITUTE.fullmatch(w) for w in own):
+            return []
+        follows = last + 1 < len(tokens) and _INSTITUTE.fullmatch(tokens[last + 1][1])
+        if follows or _INSTITUTE_BEFORE.search(text[max(0, start - 40) : start]) or _EPONYM_AFTER.match(text, tokens[last][3]):
+            return []
+        return [(Span(start, tokens[last][3], "name"), [folded(w) for w in own if not self.has(w, "given") and not self.has(w, "family")])]
+
+    def _half_turned(self, text: str, tokens: list[tuple], at: int) -> list[tuple[Span, list[str]]]:
+        """Family name, comma, given name: an unlisted word and a listed given name, with nothing but initials after it."""
+        word, given, last = tokens[at][1], tokens[at + 2][1], at + 2
+        while last + 1 < len(tokens) and tokens[last + 1][0] == "initial":
+            last += 1
+        alone = last + 1 == len(tokens) or tokens[last + 1][0] == "comma"
+        if not alone or not self.has(given, "given") or self.has(given, "family") or self.has(word, "given") or _INSTITUTE.fullmatch(word):
+            return []
+        led = _LED.search(text, max(0, tokens[at][2] - 40), tokens[at][2])
+        return [(Span(led.start() if led else tokens[at][2], tokens[last][3], "name"), [folded(word)])]
+
+    def _plain(self, word: str) -> bool:
+        """A word of sentences that the list doesn't have."""
+        return folded(word) in _NO_NAMES and not self.has(word, "given") and not self.has(word, "family")
+
+    def _confirmed(self, text: str, sure: list[Span], half: list[tuple[Span, list[str]]], contacts: list[Span]) -> Iterator[Span]:
+        """Those with a listed part (2) that what stands around or elsewhere in the text confirms (1)."""
+        ends = [s.end for s in sure]
+        open_, longer = [], []
+        for s, words in half:
+            i = bisect_right(ends, s.start)
+            if i == len(ends) or sure[i].start >= s.end:
+                open_.append((s, words))
+            elif s.start < sure[i].start and s.end == sure[i].end:
+                longer.append(s)
+        begun, ended = {s.start for s in sure}, {s.end for s in sure}
+        met = {folded(m["word"]) for s in sure for m in _TOKEN.finditer(text, s.start, s.end) if m["word"]}
+        contacts = sorted(contacts)
+        at = [c.start for c in contacts]
+
+        def beside(s: Span) -> bool:
+            i = bisect_right(at, s.end - 1)
+            if i < len(at) and at[i] - s.end <= 40 and _TO_CONTACT.fullmatch(text, s.end, at[i]):
+                return True
+            return bool(i and contacts[i - 1].end <= s.start and _FROM_CONTACT.fullmatch(text, contacts[i - 1].end, s.start))
+
+        def shown(s: Span) -> bool:
+            return bool(_BEFORE.search(text, max(0, s.start - 40), s.start) or _AFTER.match(text, s.end)) or beside(s)
+
+        def joined(s: Span, words: list[str]) -> bool:
+            before = _LISTED_BEFORE.search(text, max(0, s.start - 24), s.start)
+            after = _LISTED_AFTER.match(text, s.end)
+            return bool(before and before.start() in ended or after and after.end() in begun) or any(w in met for w in words)
+
+        # Only what stands right before it makes a word before a found name a part of it.
+        yield from (s for s in longer if _BEFORE.search(text, max(0, s.start - 40), s.start))
+        todo, test = open_, lambda s, words: shown(s) or joined(s, words)
+        while todo:
+            left, got = [], False
+            for s, words in todo:
+                if test(s, words):
+                    got = True
+                    begun.add(s.start)
+                    ended.add(s.end)
+                    met.update(words)
+                    yield s
+                else:
+                    left.append((s, words))
+            if not got:
+                return
+            # Each found one may confirm others before and after it.
+            todo, test = left[::-1], joined
+
     def _from(self, text: str, tokens: list[tuple], at: int) -> tuple[Span, int] | None:
         """The name that begins with this token, and the token after it."""
         kind, word, start, _ = tokens[at]
@@ -240,10 +363,13 @@ def found(text: str | None, names: Names) -> list[Span]:
     if not text:
         return []
     taken: list[Span] = []
-    for spans in (emails(text), idnums(text), phones(text), addresses(text), names.spans(text)):
+    contacts: list[Span] = []
+    for spans in (emails(text), idnums(text), phones(text), addresses(text), names.spans(text, contacts)):
         for s in spans:
             if not any(s.start < t.end and t.start < s.end for t in taken):
                 taken.append(s)
+                if s.kind in ("email", "idnum", "phone"):
+                    contacts.append(s)
     return sorted(taken)
 
 

@@ -39,6 +39,29 @@ def test_spans(text, want):
     assert [(s.kind, text[s.start : s.end]) for s in pii.found(text, NAMES)] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("I am grateful to Corn Unlisted for comments", ["Corn Unlisted"]),
+        ("joint work with Unlisted B. van der Mouda, as in", ["Unlisted B. van der Mouda"]),
+        ("during the workshop we met Corn Unlisted.", ["Corn Unlisted"]),
+        ("according to Professor Corn Unlisted", ["Corn Unlisted"]),
+        ("We thank Corn Mouda and Starn Other, Klos Third and Unlisted Groto", ["Corn Mouda", "Starn Other", "Klos Third", "Unlisted Groto"]),
+        ("Starn Other and Corn Mouda", ["Starn Other", "Corn Mouda"]),
+        ("Contact: Corn Unlisted, a.b@c.example", ["Corn Unlisted"]),
+        ("Corn Unlisted has kindly pointed out an error", ["Corn Unlisted"]),
+        ("We thank Corn Unlisted. Later: Starn Unlisted is right", ["Corn Unlisted", "Starn Unlisted"]),
+        ("with Following Corn Mouda by Unlisted Corn Mouda", ["Corn Mouda", "Unlisted Corn Mouda"]),
+        ("nach einem Vortrag von Corn Unlisted und", ["Corn Unlisted"]),
+        ("with Unlisted, Corn in", ["Unlisted, Corn"]),
+        ("Corn Unlisted. Following Mouda and Groto, the Mouda--Groto inequality by Mouda's lemma", []),
+        ("of Corn Institute, by The Mouda School, with Corn Unlisted Theorem, with Mouda, Theorem", []),
+    ],
+)
+def test_names_that_the_list_has_by_half(text, want):
+    assert [text[s.start : s.end] for s in pii.found(text, NAMES) if s.kind == "name"] == want
+
+
 def test_check_character():
     assert pii.check_character("000000021825009") == "7"
     assert pii.check_character("000000021694233") == "X"
