@@ -19,7 +19,8 @@ def stripped(raw: Column) -> Column:
 def normalized(raw: Column) -> Column:
     """Without surrounding white space, then without control characters; null if nothing is left."""
     # Most are printable ASCII as they are; the test is much cheaper than the replacements.
-    return F.when(raw.rlike(r"^[!-~]++$"), raw).otherwise(F.nullif(F.regexp_replace(stripped(raw), CONTROL, ""), F.lit("")))
+    # Not $, which also matches before a line's end.
+    return F.when(raw.rlike(r"^[!-~]++\z"), raw).otherwise(F.nullif(F.regexp_replace(stripped(raw), CONTROL, ""), F.lit("")))
 
 
 def is_listed(raw: Column) -> Column:

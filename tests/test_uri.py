@@ -12,6 +12,12 @@ def test_normalising_strips_before_it_deletes(spark):
     assert [(r.got, r.want) for r in df.select(U.normalized(F.col("raw")).alias("got"), "want").collect() if r.got != r.want] == []
 
 
+def test_normalising_takes_line_ends_off(spark):
+    ends = ["\n", "\r", "\r\n", "\x85", "\u2028", "\u2029", "\n\n"]
+    df = spark.createDataFrame([("http://a/x" + e,) for e in ["", *ends]] + [("\n",)], "raw string")
+    assert [r.got for r in df.select(U.normalized(F.col("raw")).alias("got")).collect()] == ["http://a/x"] * 8 + [None]
+
+
 def test_hosts(spark):
     rows = [("http://a.b/c", "a.b"), ("http://u:p@h:80/", "h"), ("http://[::1]/", None), ("mailto:x@y", None), ("x://y?z", "y"), ("http://a@b@c/", "c"), ("http:///x", None), (None, None), ("a://b://c", "b")]
     df = spark.createDataFrame(rows, "u string, want string")
