@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from grammarlens.functions import ident
+from grammarlens.operators import dedup
 from grammarlens.session import staged
 
 
@@ -33,6 +35,19 @@ def bottom_k(rows: DataFrame, group: list[str], rank_by: str, uri: str, quota: D
     return best.join(F.broadcast(quota.select(*group, "quota")), group).where("_rank <= quota").drop("quota")
 
 
+def stratified(rows: DataFrame, quota: DataFrame, seed: int, most: int) -> DataFrame:
+    """Of each stratum's distinct URIs its quota with the smallest fractions; a URI of two strata stays in the first.
+
+    Fractions are drawn with the seed plus the place of the stratum among those of quota, so
+    strata don't choose the same of their common URIs. What is dropped isn't made up.
+    """
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("stratum"))) - 1  # one row for each stratum
+    seeds = quota.select("stratum", (F.lit(seed) + place).alias("_seed"))
+    ranked = rows.join(F.broadcast(seeds), "stratum").withColumn("rank_by", ident.fraction(F.col("uri"), F.col("_seed")))
+    best = bottom_k(ranked.select("stratum", "uri", "rank_by"), ["stratum"], "rank_by", "uri", quota, most)
+    return dedup.first_seen(best, ["uri"], ["stratum", "rank_by"])
+
+
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with their number in the whole order, from 0, without a window over everything.
 

@@ -97,6 +97,11 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.first_seen(best, ["uri"], ["stratum", "rank_by"])
 
 
+def stratified_sample_blake2b(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as the reference ranks: by blake2b, with a seed for each stratum."""
+    return sampling.stratified(capped_domains(spark, sf).select("stratum", "uri"), stratum_quotas(spark, sf), SEED, TARGET)
+
+
 def round_robin_shards(spark: SparkSession, sf: str) -> DataFrame:
     """All distinct URIs in order of arrival, dealt out to shards."""
     return sampling.sharded(sampling.numbered(distinct_first_seen(spark, sf), ["src_file", "ord"]), SHARDS).select("uri", "number", "shard")
@@ -177,7 +182,7 @@ def _component_sql() -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (normalized_uris, lost_hosts, registrable_domains, distinct_first_seen, capped_domains, value_sample, value_sample_blake2b, stratum_quotas, stratified_sample, round_robin_shards, sample_lists, warc_targets, dump_dates, component_usage)
+    for f in (normalized_uris, lost_hosts, registrable_domains, distinct_first_seen, capped_domains, value_sample, value_sample_blake2b, stratum_quotas, stratified_sample, stratified_sample_blake2b, round_robin_shards, sample_lists, warc_targets, dump_dates, component_usage)
 }
 _CAPPED = f"""(select stratum, domain, uri, src_file, ord from (
  select *, row_number() over (partition by stratum, domain order by src_file, ord) as rk from (

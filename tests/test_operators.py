@@ -1,3 +1,5 @@
+import hashlib
+
 import pyspark.sql.functions as F
 
 from grammarlens.operators import dedup, der, evidence, hits, sampling
@@ -31,6 +33,21 @@ def test_bottom_k_prefers_the_larger_uri_in_a_tie(spark):
     assert {(r.s, r.uri) for r in sampling.bottom_k(rows, ["s"], "h", "uri", quota, 3).collect()} == {("a", "x"), ("a", "z"), ("b", "q")}
 
 
+def test_strata_have_seeds_of_their_own(spark):
+    uris = [f"http://h/{i}" for i in range(200)]
+    rows = spark.createDataFrame([(s, u) for s in "abc" for u in uris], "stratum string, uri string")
+    quota = spark.createDataFrame([("b", 40), ("a", 60), ("c", 0), ("d", 5)], "stratum string, quota long")
+    hashed = lambda u, s: int.from_bytes(hashlib.blake2b(f"{s}:{u}".encode(), digest_size=8).digest(), "big") / 2**64
+    want, shared = {}, 0
+    for i, (s, n) in enumerate([("a", 60), ("b", 40)]):
+        for u in sorted(uris, key=lambda u: hashed(u, 17 + i))[:n]:
+            shared += u in want
+            want.setdefault(u, (s, hashed(u, 17 + i)))
+    assert {r.uri: (r.stratum, r.rank_by) for r in sampling.stratified(rows, quota, 17, 60).collect()} == want
+    # With one seed all 40 would be among the 60.
+    assert shared < 40
+
+
 def test_numbers_follow_the_order_over_all_tasks(spark):
     rows = spark.range(10_000).select((F.col("id") * 7919 % 10_007).alias("k")).repartition(7)
     got = sampling.sharded(sampling.numbered(rows, ["k"]), 3).orderBy("number").collect()
