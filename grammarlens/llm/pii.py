@@ -56,7 +56,7 @@ _GAP = r"(?:--|[\-. ~\u00a0\u2009\u202f\u2010-\u2014]|\\[,; ]|\\~\{\}|\r?\n)"
 _PHONE = re.compile(
     rf"(?<![\w+.\-/])(?:"
     rf"\+[1-9]\d{{8,14}}|\+[1-9]\d{{0,2}}(?:{_GAP}?\(?\d{{1,5}}\)?){{2,6}}"
-    rf"|00[1-9]\d?{_GAP}\d{{1,4}}(?:{_GAP}\d{{2,5}}){{1,4}}"
+    rf"|00[1-9]\d{{0,2}}{_GAP}\d{{1,4}}(?:{_GAP}\d{{2,5}}){{1,4}}"
     rf"|\(0?\d{{2,4}}\){_GAP}?\d{{3,5}}{_GAP}\d{{3,5}}"
     rf"|\d{{3}}(?P<g>{_GAP})\d{{3}}(?P=g)\d{{4}}"
     rf"|0\d(?:{_GAP}\d\d){{4}}"
@@ -65,8 +65,27 @@ _PHONE = re.compile(
 _CALLED = re.compile(r"(?i)(?:tel|phone|fax|cell|call|mobile?|telefon|labphone)[^\n]{0,12}$|,\s*$|fax:?\s*$")
 _COUNTED = re.compile(r"(?i)(?:grant|run|isbn|issn|compound|data ?set|seed|doi|pp\.|job|version|energies are|orcid|id|no\.)[\s~:]*$")
 
+#: Any number in groups, on one line, right after a label.
+_NUMBER_GAP = r"(?:--|[\-. ~\u00a0\u2009\u202f\u2010-\u2014]|\\[,; ]|\\~\{\}| ?/ ?)"
+_LABELLED = re.compile(
+    rf"[tTpPfFmM](?<![\w\\].)(?i:(?<=t)(?:[eé]l[eé](?:[pf]h?on[eo]?|fax)|[eé]l)|(?<=p)h(?:one)?|(?<=f)a(?:x|csimile)|(?<=m)obile?)\b\.?(?i:[\s~]*(?:no\b\.?|nr\b\.?|number|\#))?(?:[\s~:{{]|\\[ ,])*"
+    rf"(?P<n>(?!0\.)(?>[+(]?\+?\d{{1,5}}\)?(?:(?:{_NUMBER_GAP}|(?<=\)))\(?\d{{1,8}}\)?){{1,7}}))(?!\d|[\-./]?\d|-[A-Za-z]|[A-Za-z])"
+)
+
 
 def phones(text: str) -> Iterator[Span]:
+    named = [m.span("n") for m in _LABELLED.finditer(text) if 6 <= sum(c.isdigit() for c in m["n"]) <= 15]
+    strict = list(_strict_phones(text))
+    begun = [s.start for s in strict]
+    for start, end in named:
+        i = bisect_right(begun, start)
+        # What has a strict shape from here on is that.
+        if not (i and strict[i - 1].end > start):
+            yield Span(start, end, "phone")
+    yield from strict
+
+
+def _strict_phones(text: str) -> Iterator[Span]:
     for m in _PHONE.finditer(text):
         digits = sum(c.isdigit() for c in m[0])
         before = text[max(0, m.start() - 24) : m.start()]

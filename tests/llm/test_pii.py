@@ -21,6 +21,9 @@ NAMES = pii.Names([p for p in PARTS if None not in p])
         (r"grant 307-26-3543, ISBN 978-0-00-494655-6, run 772-807-9574-b, 939.132.15, Compound 5485-94-4, J. 74 (2010) 655, seed 4426079467", []),
         (r"\orcid{0900-1838-4337-4734} SSN: 000--24--9249, passport no. W9595225, ID card no. ZK3044910, soc. sec. no. 175 00 3164", [("idnum", x) for x in ("0900-1838-4337-4734", "000--24--9249", "W9595225", "ZK3044910", "175 00 3164")]),
         (r"ORCID 0900-1838-4337-4735, Data set 0900-1838-4337-4734, 000-24-9249, W9595225", []),
+        (r"or 00353 1 234 5678, 00420 234 567 890", [("phone", "00353 1 234 5678"), ("phone", "00420 234 567 890")]),
+        (r"Tel.: 030 12345678, Telefon 089/1234567; fax no. 555-0186, Tél. 12 34 56, phone (030)1234567.", [("phone", x) for x in ("030 12345678", "089/1234567", "555-0186", "12 34 56", "(030)1234567")]),
+        (r"fax 12 34, phone 0.1234-0.5678, 030 12345678, hotel 12 345678, grant 089/1234567, tel 1 2 3 4 5 6 7 8x", []),
         (r"at 26 Preip Sq. in X, 183--185 North Jenax Drive, 48--50, rue de Sletioske, Via Skislo, 17, Calle Quegru 23, Loreiweg 60", [("address", x) for x in ("26 Preip Sq.", "183--185 North Jenax Drive", "48--50, rue de Sletioske", "Via Skislo, 17", "Calle Quegru 23", "Loreiweg 60")]),
         (r"Kaestra\ss{}e 126 in, Griostraße 49c, Woustr. 92", [("address", r"Kaestra\ss{}e 126"), ("address", "Griostraße 49c"), ("address", "Woustr. 92")]),
         (r"We took 21 Road scenes and 23 Lane images", []),
