@@ -1,8 +1,10 @@
 """Loading rows that may be broken, and setting the broken ones aside with a reason.
 
-Blocks of rows go through one Arrow kernel that parses the whole block or fails. A
-failing block is halved until the rows that fail stand alone; only those are read
-by the strict reader, which either loads them after all or names the reason.
+Blocks of rows go through one Arrow kernel, which parses all plain rows of a block and
+leaves null where it can't. A block with failures is halved until the rows that fail
+stand alone; only those are read by the strict reader, which either loads them after
+all or names the reason. A half is judged by the nulls in its part of what was parsed,
+so each row meets the kernel once.
 
 Defined results: null, empty and blank tuples are rejects ("columns"); null, blank
 and comment lines of a certificate list are no rows at all; repeated rows are each
@@ -16,13 +18,16 @@ import base64
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that are parsed at once, and those that are no longer halved.
-BLOCK, LEAF = 1024, 16
+#: Rows that are parsed at once.
+BLOCK = 4096
+#: Fields of a tuple.
+COLUMNS = 5
 U32 = 4294967295
 
 LINK_SCHEMA = "row_id bigint, el_id bigint, el_from bigint, url string, reason string"
@@ -48,11 +53,9 @@ def unescape(text: str) -> str:
 def read_fields(text: str) -> tuple[list[tuple[bool, str]], int, bool]:
     """Fields as (quoted, content), where reading ended, and whether a bracket closed it.
 
-    Raises ValueError at the first fault of quoting.
+    Raises ValueError at the first fault of quoting. text has nothing around the tuple any more.
     """
     at, end, fields = 0, len(text), []
-    while at < end and text[at].isspace():
-        at += 1
     opened = at < end and text[at] == "("
     at += opened
     while True:
@@ -75,13 +78,23 @@ def read_fields(text: str) -> tuple[list[tuple[bool, str]], int, bool]:
         at += 1
 
 
+def bare(text: str) -> str:
+    """A row without what may normally stand around its tuple: white space, and one comma or semicolon after it."""
+    text = text.strip()
+    return text[:-1].rstrip() if text.endswith((",", ";")) else text
+
+
 def read_link(text: str | None) -> dict:
-    """One tuple, strictly: its values, or the first reason that applies."""
+    """One tuple, strictly: its values, or the first reason that applies.
+
+    What is normal after a tuple is taken off first, so a quoted string before it stands at the end.
+    """
+    text = bare(text or "")
     try:
-        fields, end, closed = read_fields(text or "")
+        fields, end, closed = read_fields(text)
     except ValueError as e:
         return {"reason": str(e)}
-    if len(fields) != 5 or not closed or text[end:].strip() not in ("", ",", ";"):
+    if len(fields) != COLUMNS or not closed or end != len(text):
         return {"reason": "columns"}
     ids = [int(x) if not quoted and re.fullmatch("[0-9]+", x) else -1 for quoted, x in fields[:2]]
     url = unescape(fields[2][1])
@@ -111,73 +124,60 @@ def read_cert(line: str) -> dict:
     return {"der": der} if is_sequence(der) else {"reason": "value"}
 
 
-def _links_at_once(block: pa.Array) -> dict[str, pa.Array] | None:
-    """The whole block, or None if a single row of it isn't plain."""
-    if block.null_count or not pc.all(pc.match_substring_regex(block, _PLAIN)).as_py():
-        return None
+def _links_at_once(block: pa.Array) -> pa.StructArray:
+    """The plain rows of a block parsed; null at the others."""
     got = pc.extract_regex(block, _PLAIN)
-    if pc.max(pc.utf8_length(got.field("el_index_60"))).as_py() > 60:
-        return None
-    url = got.field("url")
-    if pc.any(pc.match_substring(url, "\\")).as_py():
-        url = pa.array([unescape(x) for x in url.to_pylist()], pa.string())
-    return {"el_id": got.field("el_id").cast("int64"), "el_from": got.field("el_from").cast("int64"), "url": url}
+    plain = pc.and_(got.is_valid(), pc.less_equal(pc.utf8_length(pc.struct_field(got, "el_index_60")), 60))
+    plain = pc.fill_null(plain, False)
+    url, number = pc.struct_field(got, "url"), lambda c: pc.if_else(plain, pc.struct_field(got, c), None).cast("int64")
+    escaped = pc.and_(plain, pc.match_substring(url, "\\"))
+    if pc.any(escaped).as_py():
+        url = pc.replace_with_mask(url, pc.fill_null(escaped, False), pa.array([unescape(x) for x in url.filter(escaped).to_pylist()], pa.string()))
+    return pa.StructArray.from_arrays([number("el_id"), number("el_from"), url], ["el_id", "el_from", "url"], mask=pc.invert(plain))
 
 
-def _certs_at_once(block: pa.Array) -> dict[str, pa.Array] | None:
+def _certs_at_once(block: pa.Array) -> pa.StructArray:
     text = pc.utf8_trim_whitespace(block)
-    if not pc.all(pc.match_substring_regex(text, f"^{_BASE64}$")).as_py():
-        return None
-    ders = [base64.b64decode(x) for x in text.to_pylist()]
-    return {"der": pa.array(ders, pa.binary())} if all(map(is_sequence, ders)) else None
+    sound = pc.fill_null(pc.match_substring_regex(text, f"^{_BASE64}$"), False)
+    ders = [base64.b64decode(x) if y else None for x, y in zip(text.to_pylist(), sound.to_pylist(), strict=True)]
+    bad = pa.array([d is None or not is_sequence(d) for d in ders], pa.bool_())
+    return pa.StructArray.from_arrays([pa.array(ders, pa.binary())], ["der"], mask=bad)
 
 
-def bisected(block: pa.Array, at_once: Callable, strict: Callable) -> Iterator[tuple[int, dict | list[dict]]]:
-    """Parts of the block in order, as (length, columns of a whole part or rows of a strict one)."""
-    if len(block) == 0:
+def broken(parsed: pa.StructArray, at: int = 0) -> Iterator[int]:
+    """The rows that failed, found by halving the parts that hold a failure."""
+    if not parsed.null_count:
+        return
+    if len(parsed) == 1:
+        yield at
         return
-    if (whole := at_once(block)) is not None:
-        yield len(block), whole
-    elif len(block) <= LEAF:
-        yield len(block), [strict(x) for x in block.to_pylist()]
-    else:
-        half = len(block) // 2
-        yield from bisected(block.slice(0, half), at_once, strict)
-        yield from bisected(block.slice(half), at_once, strict)
+    half = len(parsed) // 2
+    yield from broken(parsed.slice(0, half), at)
+    yield from broken(parsed.slice(half), at + half)
 
 
 def _loaded(batches: Iterable[pa.RecordBatch], at_once: Callable, strict: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts, at = batch.column(0), batch.column(1), 0
-        while at < len(texts):
-            for n, got in bisected(texts.slice(at, min(BLOCK, len(texts) - at)), at_once, strict):
-                columns = [ids.slice(at, n)]
-                for field in list(schema)[1:]:
-                    if isinstance(got, dict):
-                        columns.append(got[field.name] if field.name in got else pa.nulls(n, field.type))
-                    else:
-                        columns.append(pa.array([x.get(field.name) for x in got], field.type))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-                at += n
-
-
-def _batched(parts: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Small parts put together, so that Spark isn't given thousands of tiny batches."""
-    held: list[pa.RecordBatch] = []
-    for part in parts:
-        held.append(part)
-        if sum(map(len, held)) >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for at in range(0, batch.num_rows, BLOCK):
+            ids, texts = (batch.column(c).slice(at, BLOCK) for c in (0, 1))
+            parsed = at_once(texts)
+            odd = list(broken(parsed))
+            read = [strict(texts[i].as_py()) for i in odd]
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            columns = [ids]
+            for field in list(schema)[1:]:
+                i = parsed.type.get_field_index(field.name)
+                column = parsed.field(i).cast(field.type) if i >= 0 else pa.nulls(len(texts), field.type)
+                columns.append(pc.replace_with_mask(column, pa.array(mask), pa.array([x.get(field.name) for x in read], field.type)) if odd else column)
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def load_links(rows: DataFrame, row_id: str = "row_id", raw: str = "raw_tuple") -> DataFrame:
     """Every row of a link dump with its values, or with the reason why it can't be read."""
     schema = pa.schema([("row_id", pa.int64()), ("el_id", pa.int64()), ("el_from", pa.int64()), ("url", pa.string()), ("reason", pa.string())])
     return rows.select(F.col(row_id).alias("row_id"), F.col(raw).alias("raw")).mapInArrow(
-        lambda it: _batched(_loaded(it, _links_at_once, read_link, schema)), LINK_SCHEMA
+        lambda it: _loaded(it, _links_at_once, read_link, schema), LINK_SCHEMA
     )
 
 
@@ -190,7 +190,7 @@ def load_certs(rows: DataFrame, row_id: str = "row_id", line: str = "cert_line")
     """Every certificate line with its bytes, or with the reason why it can't be read."""
     schema = pa.schema([("row_id", pa.int64()), ("der", pa.binary()), ("reason", pa.string())])
     return rows.where(is_cert_line(F.col(line))).select(F.col(row_id).alias("row_id"), F.col(line).alias("line")).mapInArrow(
-        lambda it: _batched(_loaded(it, _certs_at_once, read_cert, schema)), CERT_SCHEMA
+        lambda it: _loaded(it, _certs_at_once, read_cert, schema), CERT_SCHEMA
     )
 
 

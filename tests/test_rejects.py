@@ -26,6 +26,10 @@ GOOD = "(1,2,'http://a.example/x','http://example.a./x','http://example.a./x')"
         ("(1,2,'a:b','x','y'),,", "columns"),
         ("1,2,'a:b','x','y')", "columns"),
         ("(1,2,'a:b','x','y'", "columns"),
+        ("(1,2,'a:b','x','y';", "columns"),
+        ("(1,2,'a:b','x','y' , ", "columns"),
+        ("(1,2,'a:b','x','y'x;", "quoting"),
+        ("(1,2,'a:b';,'x','y')", "quoting"),
         ("", "columns"),
         (None, "columns"),
         ("   ", "columns"),
