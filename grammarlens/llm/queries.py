@@ -194,13 +194,18 @@ def _samples(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     return hits.once(visits.where("is_matched")).select("sample_id", "visited"), total
 
 
-def _nodes(spark: SparkSession, sf: str, longest: int = 1) -> DataFrame:
+#: Longest sequence of nodes that is counted.
+_LONGEST = 3
+
+
+def _nodes(spark: SparkSession, sf: str, upto: int = _LONGEST) -> DataFrame:
     samples, total = _samples(spark, sf)
-    return ngrams.marked(ngrams.counted(samples, "visited", longest), total)
+    return ngrams.marked(ngrams.counted(samples, "visited", _LONGEST, upto), total)
 
 
 def p6_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return _nodes(spark, sf).select(F.get("gram", F.lit(0)).alias("node_id"), F.col("occurrences").alias("visits"), F.col("records").alias("hits"), "total_samples", "mark")
+    """The sequences of length 1 among all that are counted."""
+    return _nodes(spark, sf, 1).select(F.get("gram", F.lit(0)).alias("node_id"), F.col("occurrences").alias("visits"), F.col("records").alias("hits"), "total_samples", "mark")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,7 +214,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """The same for sequences of up to three nodes visited one after the other."""
-    return _nodes(spark, sf, 3).select(F.array_join("gram", " ").alias("nodes"), F.col("occurrences").alias("visits"), F.col("records").alias("hits"), "total_samples", "mark")
+    return _nodes(spark, sf).select(F.array_join("gram", " ").alias("nodes"), F.col("occurrences").alias("visits"), F.col("records").alias("hits"), "total_samples", "mark")
 
 
 _ONE = f"(select sample_id, arg_min(visited, (parsed_at, visit_row)) as visited from parse_visits where grammar = '{_GRAMMAR}' and is_matched group by 1)"
