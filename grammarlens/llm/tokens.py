@@ -1,14 +1,13 @@
 """Encoding texts with a byte-level BPE by reduction over a tree of halves.
 
 A text is halved until its parts are short, the parts are encoded, and neighbours are
-joined from the bottom up. A part knows where its pieces begin (the words that the
-pattern cuts a text into; merges never cross them). Joining two parts, the last piece of
-the left that the end can't have shaped is the start of a window that is cut and encoded
-anew over the border and grows until one of its pieces begins where a piece of the right
-begins. The pattern looks ahead by at most LOOK characters and never back, so from a
-common beginning on both cut alike for good, and what stands left and right of the window
-is proven to be the encoding of the whole. Joining is associative, so the leaves of very
-long texts can also be spread over tasks and joined in rounds.
+joined from the bottom up. At some places the pattern begins a new piece whatever stands
+around: after a letter or digit that another kind of character follows, and before white
+space that follows anything else; merges never cross such a place. Joining two parts, a
+window over the border grows until it reaches such a place on both sides. It is encoded
+anew, and what stands left and right of it is proven to be the encoding of the whole.
+Joining is associative, so the leaves of very long texts are also spread over tasks and
+joined in rounds.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ import base64
 import functools
 import os
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,101 +28,83 @@ from grammarlens.session import staged
 #: Where the vocabularies of public tokenizers are; a parameter of everything below.
 VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Where a piece begins in every context: no alternative of the pattern goes over these places.
+BORDER = r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=\S)(?=\s)"
 #: Characters of a leaf; leaves that are joined in one round where they are spread over tasks.
-LEAF, FAN = 1 << 15, 64
-#: How far from its beginning a match of the pattern may depend on the text, beside the character after its end.
-LOOK = 3
-WINDOW = 256
+LEAF, FAN = 1 << 10, 64
+#: Texts of more characters than this are spread over tasks.
+SPREAD_OVER = 1 << 20
+#: Characters that are looked at on each side of a border first.
+WINDOW = 32
 
 
 @functools.lru_cache(maxsize=2)
 def encoding(vocabulary: str):
-    """The tokenizer, its pattern and how many bytes each token has; loaded once by each Python worker."""
+    """The tokenizer, the pattern of sure borders and how many bytes each token has; loaded once by each Python worker."""
     import regex
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    widths = np.zeros(max(ranks.values()) + 1, np.int64)
+    widths = [0] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         widths[rank] = len(token)
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(PATTERN), widths
-
-
-class Part(NamedTuple):
-    """The encoding of text[start:end] taken by itself; starts: of its pieces, in text; firsts: their first tokens."""
-
-    start: int
-    end: int
-    ids: np.ndarray
-    starts: np.ndarray
-    firsts: np.ndarray
-
-
-def _leaf(text: str, start: int, end: int, vocabulary: str) -> Part:
-    encoder, pattern, widths = encoding(vocabulary)
-    starts = np.fromiter((m.start() for m in pattern.finditer(text, start, end)), np.int64)
-    ids = np.array(encoder.encode_ordinary(text[start:end]), np.int64)
-    # Pieces begin with tokens, so both can be lined up by their bytes.
-    wide = np.frombuffer(text[start:end].encode("utf-32-le"), np.uint32)
-    in_bytes = np.concatenate([[0], np.cumsum(1 + (wide > 0x7F) + (wide > 0x7FF) + (wide > 0xFFFF))])
-    firsts = np.searchsorted(np.concatenate([[0], np.cumsum(widths[ids])]), in_bytes[starts - start])
-    return Part(start, end, ids, starts, firsts)
-
-
-def _join(text: str, left: Part, right: Part, vocabulary: str) -> Part:
-    """The encoding of both parts as one; the second begins where the first ends."""
-    if not len(left.starts) or not len(right.starts):
-        return right._replace(start=left.start) if len(right.starts) else left._replace(end=right.end)
-    encoder, pattern, _ = encoding(vocabulary)
-    # The first piece that might look different with more text behind it.
-    ends = np.append(left.starts[1:], left.end)
-    sure = (ends < left.end) & (left.starts + LOOK <= left.end)
-    at = int(np.argmin(sure))
-    begins, window = set(right.starts.tolist()), WINDOW
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(BORDER), widths
+
+
+def _border(text: str, start: int, end: int, last: bool, vocabulary: str) -> int | None:
+    """The first or the last place strictly within text[start:end] at which a piece begins for sure."""
+    found = None
+    for m in encoding(vocabulary)[1].finditer(text, start + 1, end):
+        if m.start() == end:
+            break  # what follows isn't seen here
+        found = m.start()
+        if not last:
+            break
+    return found
+
+
+def _tokens_of(ids: list[int], size: int, widths: list[int], last: bool) -> int:
+    """How many ids, from the front or from the back, make up size bytes."""
+    n = 0
+    for i in reversed(ids) if last else ids:
+        if size <= 0:
+            break
+        size -= widths[i]
+        n += 1
+    if size:
+        raise ValueError("a token crosses the border of two pieces")
+    return n
+
+
+def _join(text: str, left: list[int], right: list[int], start: int, middle: int, end: int, vocabulary: str) -> list[int]:
+    """The encoding of text[start:end] from those of its two parts, which meet at middle."""
+    encoder, _, widths = encoding(vocabulary)
+    window = WINDOW
     while True:
-        limit = min(right.end, left.end + window)
-        pieces, met = [], right.end
-        for m in pattern.finditer(text, int(left.starts[at]), limit):
-            if m.start() >= right.start and m.start() in begins:
-                met = m.start()
-                break
-            if limit < right.end and (m.end() >= limit or m.start() + LOOK > limit):
-                met = -1  # the window ends too early to tell
-                break
-            pieces.append((m.start(), encoder.encode_ordinary(m.group())))
-        else:
-            met = right.end if limit == right.end else -1
-        if met >= 0:
+        a, b = max(start, middle - window), min(end, middle + window)
+        # Both lie in one part with the characters beside them, so its own encoding has a piece begin there, too.
+        begin = start if a == start else _border(text, a, middle, False, vocabulary)
+        stop = end if b == end else _border(text, middle, b, True, vocabulary)
+        if begin is not None and stop is not None:
             break
         window *= 4
-    kept = int(left.firsts[at])
-    sizes = np.array([len(x) for _, x in pieces], np.int64)
-    between = np.array([i for _, x in pieces for i in x], np.int64)
-    after = int(np.searchsorted(right.starts, met)) if met < right.end else len(right.starts)
-    skipped = int(right.firsts[after]) if after < len(right.starts) else len(right.ids)
-    return Part(
-        left.start, right.end,
-        np.concatenate([left.ids[:kept], between, right.ids[skipped:]]),
-        np.concatenate([left.starts[:at], np.array([s for s, _ in pieces], np.int64), right.starts[after:]]),
-        np.concatenate([left.firsts[:at], kept + np.cumsum(sizes) - sizes, right.firsts[after:] - skipped + kept + len(between)]),
-    )
-
-
-def _tree(text: str, start: int, end: int, vocabulary: str, leaf: int) -> Part:
+    between = encoder.encode_ordinary(text[begin:stop])
+    keep = len(left) - _tokens_of(left, len(text[begin:middle].encode()), widths, True)
+    skip = _tokens_of(right, len(text[middle:stop].encode()), widths, False)
+    return [*left[:keep], *between, *right[skip:]]
+
+
+def _tree(text: str, start: int, end: int, vocabulary: str, leaf: int) -> list[int]:
     if end - start <= leaf:
-        return _leaf(text, start, end, vocabulary)
+        return encoding(vocabulary)[0].encode_ordinary(text[start:end])
     half = (start + end) // 2
-    return _join(text, _tree(text, start, half, vocabulary, leaf), _tree(text, half, end, vocabulary, leaf), vocabulary)
+    return _join(text, _tree(text, start, half, vocabulary, leaf), _tree(text, half, end, vocabulary, leaf), start, half, end, vocabulary)
 
 
-def encode(text: str | None, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> np.ndarray | list[int]:
+def encode(text: str | None, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> list[int]:
     """The ids of one text; none for null and empty ones."""
-    if not text:
-        return []
-    if len(text) <= leaf:  # a tree of one leaf, whose pieces nobody asks for
-        return encoding(vocabulary)[0].encode_ordinary(text)
-    return _tree(text, 0, len(text), vocabulary, leaf).ids
+    return _tree(text, 0, len(text), vocabulary, leaf) if text else []
 
 
 def decode(ids, vocabulary: str = VOCABULARY) -> str:
@@ -141,27 +121,24 @@ def _short(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.Re
 
 
 def _encoded_leaves(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    names = ["row", "key", "leaf", "text", "ids", "starts", "firsts"]
     for batch in batches:
-        for i, text in enumerate(batch.column(3).to_pylist()):
-            part = _tree(text, 0, len(text), vocabulary, LEAF)
-            made = [pa.array([x], pa.list_(pa.int64())) for x in (part.ids, part.starts, part.firsts)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(4)), *made], names=names)
+        made = pa.array([encode(t, vocabulary) for t in batch.column(3).to_pylist()], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, made], names=["row", "key", "leaf", "text", "ids"])
 
 
 def _folded(rows: pd.DataFrame, vocabulary: str) -> pd.DataFrame:
     """Neighbours in order, joined pairwise until one is left."""
     rows = rows.sort_values("leaf")
     text, at, parts = "".join(rows["text"]), 0, []
-    for t, *made in rows[["text", "ids", "starts", "firsts"]].itertuples(index=False):
-        got = [np.asarray(x, np.int64) for x in made]
-        parts.append(Part(at, at + len(t), got[0], got[1] + at, got[2]))
+    for t, ids in zip(rows["text"], rows["ids"], strict=True):
+        parts.append((at, at + len(t), list(ids)))
         at += len(t)
     while len(parts) > 1:
-        parts = [_join(text, *parts[i : i + 2], vocabulary) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    p = parts[0]
+        pairs = zip(parts[::2], parts[1::2], strict=False)
+        joined = [(a, c, _join(text, x, y, a, b, c, vocabulary)) for (a, b, x), (_, c, y) in pairs]
+        parts = joined + parts[len(parts) & ~1 :]
     first = rows.iloc[0]
-    return pd.DataFrame({"row": [first["row"]], "key": [first["key"]], "leaf": [first["leaf"] // FAN], "text": [text], "ids": [p.ids], "starts": [p.starts], "firsts": [p.firsts]})
+    return pd.DataFrame({"row": [first["row"]], "key": [first["key"]], "leaf": [first["leaf"] // FAN], "text": [text], "ids": [np.array(parts[0][2], np.int32)]})
 
 
 def _long(documents: DataFrame, kind: str, vocabulary: str, chars: int) -> DataFrame:
@@ -172,26 +149,25 @@ def _long(documents: DataFrame, kind: str, vocabulary: str, chars: int) -> DataF
     leaves = F.expr(f"transform(sequence(0, cast(ceil(length(text) / {chars}) as int) - 1), i -> struct(i as leaf, substring(text, i * {chars} + 1, {chars}) as part))")
     # Keys may repeat or be null, so a row has a number of its own, kept by the write before the shuffle.
     numbered = staged(documents.withColumn("row", F.monotonically_increasing_id()).select("row", "key", F.inline(leaves)), "leaves")
-    schema = f"row bigint, key {kind}, leaf int, text string, ids array<bigint>, starts array<bigint>, firsts array<bigint>"
-    parts = numbered.repartition("row", "leaf").mapInArrow(lambda it: _encoded_leaves(it, vocabulary), schema)
+    schema = f"row bigint, key {kind}, leaf int, text string, ids array<int>"
+    # With a number of parts, which isn't lowered for leaves being few bytes: encoding them is the work.
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = numbered.repartition(tasks, "row", "leaf").mapInArrow(lambda it: _encoded_leaves(it, vocabulary), schema)
     for _ in range(2):
         parts = parts.groupBy("row", F.expr(f"leaf div {FAN}").alias("_group")).applyInPandas(lambda rows: _folded(rows, vocabulary), schema)
-    return parts.select("key", F.col("ids").cast("array<int>").alias("ids"))
+    return parts.select("key", "ids")
 
 
-def ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, spread_over: int | None = None) -> DataFrame:
+def ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, spread_over: int = SPREAD_OVER) -> DataFrame:
     """key and ids of every document.
 
     Null and empty texts have an empty list; strings of special tokens are ordinary text;
     repeated and null keys are encoded row by row; an empty table gives no rows; extra
-    columns are dropped, whatever their names. Every text is encoded by one task, which
-    takes a second for some million characters; with spread_over, texts of more characters
-    than that are spread over tasks instead, at the price of a second scan.
+    columns are dropped, whatever their names. Texts of more than spread_over characters,
+    which a second scan looks for, are spread over tasks leaf by leaf.
     """
     kind = documents.schema[key].dataType.simpleString()
     texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    fits = F.lit(True) if spread_over is None else F.col("text").isNull() | (F.length("text") <= spread_over)
-    out = texts.where(fits).mapInArrow(lambda it: _short(it, vocabulary), f"key {kind}, ids array<int>")
-    if spread_over is not None:
-        out = out.unionByName(_long(texts.where(~fits), kind, vocabulary, max(1, spread_over // 4)))
-    return out.withColumnRenamed("key", key)
+    fits = F.col("text").isNull() | (F.length("text") <= spread_over)
+    short = texts.where(fits).mapInArrow(lambda it: _short(it, vocabulary), f"key {kind}, ids array<int>")
+    return short.unionByName(_long(texts.where(~fits), kind, vocabulary, max(1, spread_over // 4))).withColumnRenamed("key", key)
