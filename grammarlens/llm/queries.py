@@ -10,6 +10,7 @@ from grammarlens.llm import copies, feistel, mixing, ngrams, packing, pii, reser
 from grammarlens.operators import hits
 from grammarlens.plans import corpus
 from grammarlens.plans.tables import table
+from grammarlens.session import staged
 
 _STRIP = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -31,9 +32,9 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("uri_key", F.expr(feistel.text_key("uri")))
     )
     strata = table(spark, sf, "strata").where("sample_rate > 0").select("run_id", "stratum_idx", "stratum", "seed", "sample_rate")
-    # A table of runs and strata, of fixed size; the keys are made on this side.
+    # The keys are made on the side of the runs and strata; Spark knows the size of their table and broadcasts it if it is small.
     keyed = feistel.with_keys(strata).drop("seed")
-    offered = feistel.permuted(records.join(F.broadcast(keyed), "stratum"), "uri_key")
+    offered = feistel.permuted(records.join(keyed, "stratum"), "uri_key")
     chosen = offered.where(feistel.under_rate("sample_rate"))
     return chosen.select("run_id", "stratum_idx", "stratum", "src_file", "ord", "uri").distinct()
 
@@ -49,13 +50,13 @@ where sample_rate >= 1 or hi < floor(sample_rate * 4294967296) or (hi = floor(sa
 
 
 def positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Records as distinct positions that hold something, each under the number of its first delivery."""
-    return (
-        table(spark, sf, "uri_records")
-        .where("raw_uri is not null and src_file is not null and ord is not null")
-        .groupBy("src_file", "ord", "stratum")
-        .agg(F.min("rec_id").alias("rec_id"))
-    )
+    """Records as distinct positions that hold something, each under the number of its first delivery.
+
+    A redelivery that comes later changes nothing. Written once, as the samplers read them several times.
+    """
+    held = table(spark, sf, "uri_records").where("raw_uri is not null and src_file is not null and ord is not null")
+    first = held.groupBy("src_file", "ord", "stratum").agg(F.min(F.struct("loaded_at", "rec_id")).alias("first"))
+    return staged(first.select("src_file", "ord", "stratum", F.col("first.rec_id").alias("rec_id")), "positions")
 
 
 def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,15 +65,15 @@ def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     """For each run and stratum how many records were kept, beside the run's total."""
-    kept = p3_sample(spark, sf).groupBy("run_id", "stratum").agg(F.count("*").alias("kept"))
+    kept = staged(p3_sample(spark, sf).groupBy("run_id", "stratum").agg(F.count("*").alias("kept")), "kept")
     total = kept.groupBy("run_id").agg(F.sum("kept").alias("total_written"))
     runs = table(spark, sf, "sample_runs").select("run_id", "target_n")
-    return runs.join(kept, "run_id", "left").join(F.broadcast(total), "run_id", "left").select(
+    return runs.join(kept, "run_id", "left").join(total, "run_id", "left").select(
         "run_id", "target_n", "stratum", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("total_written", F.lit(0)).alias("total_written")
     )
 
 
-_POSITIONS = "(select src_file, ord, stratum, min(rec_id) as rec_id from uri_records where raw_uri is not null and src_file is not null and ord is not null group by all)"
+_POSITIONS = "(select src_file, ord, stratum, arg_min(rec_id, (loaded_at, rec_id)) as rec_id from uri_records where raw_uri is not null and src_file is not null and ord is not null group by all)"
 _P3 = f"""
 select run_id, rec_id, src_file, ord, stratum from (
   select *, row_number() over (partition by run_id order by hi, lo) as rk from (
@@ -90,34 +91,33 @@ from sample_runs r left join (select run_id, stratum, count(*) as kept from ({_P
 # --- 4: mixing strata to weights ---------------------------------------------------------
 
 
-def _balanced(spark: SparkSession, sf: str) -> DataFrame:
-    """Each run and stratum with its exact share, target, records and solved rate."""
-    supply = positions(spark, sf).groupBy("stratum").agg(F.count("*").alias("n")).withColumn("size", F.lit(1))
+def _solved(spark: SparkSession, sf: str, records: DataFrame, goal: str) -> tuple[DataFrame, DataFrame]:
+    """Each run and stratum with its exact share, target and solved multiplier, and how many records there are of each size: all are of size 1."""
+    sizes = staged(records.groupBy("stratum").agg(F.count("*").alias("n")).withColumn("size", F.lit(1)), "sizes")
     strata = table(spark, sf, "strata").select("run_id", "stratum_idx", "stratum", "weight", "seed", F.expr("greatest(coalesce(max_repeats, 0), 0)").alias("max_repeats"))
     wanted = mixing.quotas(strata, table(spark, sf, "sample_runs"))
-    supply = mixing.staged(supply, "supply")
-    solved = mixing.balanced(wanted, supply, ["run_id", "stratum_idx"], "stratum", "share", "max_repeats")
-    return solved.join(F.broadcast(supply.select("stratum", "n")), "stratum", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return mixing.balanced(wanted, sizes, ["run_id", "stratum_idx"], "stratum", goal, "max_repeats"), sizes
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Strata of runs still to be made whose dual has no solution: the cap on repeats is in the way."""
-    return _balanced(spark, sf).where("total_written is null and not reached").select("run_id", "stratum")
+    """Strata of runs still to be made whose dual has no solution: its mass at the cap on repeats stays under the share."""
+    return _solved(spark, sf, positions(spark, sf), "share")[0].where("total_written is null and not reached").select("run_id", "stratum")
 
 
 def p4_mix(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = _balanced(spark, sf)
-    return mixing.mixture(positions(spark, sf), "rec_id", "stratum", wanted, ["run_id", "stratum_idx"], "target", "max_repeats", "seed").select(
+    records = positions(spark, sf)
+    solved, sizes = _solved(spark, sf, records, "target")
+    return mixing.mixture(records, "rec_id", "stratum", solved, sizes, ["run_id", "stratum_idx"], "max_repeats", "seed").select(
         "run_id", "stratum_idx", "stratum", "rec_id", "src_file", "ord", "copies"
     )
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     """Target, records kept and actual share of each stratum, counted in the mixture itself."""
-    kept = p4_mix(spark, sf).groupBy("run_id", "stratum_idx").agg(F.sum("copies").alias("kept"), F.max("copies").alias("most_copies"))
+    kept = staged(p4_mix(spark, sf).groupBy("run_id", "stratum_idx").agg(F.sum("copies").alias("kept"), F.max("copies").alias("most_copies")), "kept")
     total = kept.groupBy("run_id").agg(F.sum("kept").alias("total"))
     wanted = mixing.quotas(table(spark, sf, "strata"), table(spark, sf, "sample_runs")).select("run_id", "stratum_idx", "stratum", "target")
-    out = wanted.join(kept, ["run_id", "stratum_idx"], "left").join(F.broadcast(total), "run_id", "left")
+    out = wanted.join(kept, ["run_id", "stratum_idx"], "left").join(total, "run_id", "left")
     return out.select(
         "run_id", "stratum_idx", "stratum", "target", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.round(F.coalesce(F.col("kept") / F.col("total"), F.lit(0.0)), 6).alias("actual_share"),

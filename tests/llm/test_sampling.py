@@ -87,8 +87,24 @@ def test_every_record_is_drawn_equally_often(spark):
 
 def test_thinning_leaves_about_twice_the_size(spark):
     runs = spark.createDataFrame([(1, 3, 50)], "run_id long, seed long, target_n long")
-    offered = feistel.permuted(reservoir.for_each(spark.range(20_000).withColumnRenamed("id", "n"), feistel.with_keys(runs).drop("seed", "target_n")), "n")
-    assert 50 <= reservoir.thinned(offered, runs).count() <= 200
+    assert 50 <= reservoir.thinned(reservoir.offered(spark.range(20_000).withColumnRenamed("id", "n"), "n", runs), runs).count() <= 200
+
+
+def test_pieces_that_arrive_one_by_one_give_the_sample_of_the_whole(spark):
+    records = spark.range(9000).withColumnRenamed("id", "n").withColumn("piece", F.expr("case when n < 100 then 0 when n < 7000 then 1 else 2 end"))
+    runs = spark.createDataFrame([(1, 3, 50), (2, 4, 600), (3, 5, 10_000), (4, 6, 1)], "run_id long, seed long, target_n long")
+    want = {tuple(r) for r in reservoir.fixed_size(records.select("n"), "n", runs).collect()}
+    state, sizes = None, []
+    for piece in range(3):  # each round sees one piece and the state, which is a table
+        new = reservoir.offered(records.where(F.col("piece") == piece).select("n"), "n", runs)
+        state = reservoir.staged(reservoir.thinned(new, runs, before=state), "state")
+        sizes.append({r.run_id: r["count"] for r in state.groupBy("run_id").count().collect()})
+    assert {tuple(r) for r in reservoir.drawn(state, runs).collect()} == want
+    assert sizes[0][1] >= 50 and sizes[2][1] <= 200 and sizes[2][2] <= 2400 and sizes[2][3] == 9000
+    # States that were made apart merge at the lower rate.
+    apart = [reservoir.staged(reservoir.thinned(reservoir.offered(records.where(F.col("piece") == p).select("n"), "n", runs), runs), "state") for p in range(3)]
+    merged = reservoir.thinned(apart[0].drop("_halvings").where("false"), runs, before=apart[0].unionByName(apart[1]).unionByName(apart[2]))
+    assert {tuple(r) for r in reservoir.drawn(merged, runs).collect()} == want
 
 
 def test_marks_in_groups_with_odd_sizes(spark):
@@ -100,30 +116,41 @@ def test_marks_in_groups_with_odd_sizes(spark):
 
 
 def wanted(spark, rows):
-    return spark.createDataFrame(rows, "run_id long, stratum_idx int, stratum string, share double, target long, max_repeats int, seed long, n long")
+    return spark.createDataFrame(rows, "run_id long, stratum_idx int, stratum string, share double, target long, max_repeats int, seed long, kept long")
 
 
 def test_balanced_rates_meet_their_goals(spark):
     sizes = spark.createDataFrame([("a", 1, 100), ("a", 3, 10), ("b", 1, 5), ("c", 2, 50)], "stratum string, size int, n long")
-    want = [(1, 0, "a", 65.0, 65, 1, 0, 110), (1, 1, "b", 18.0, 18, 3, 0, 5), (1, 2, "b", 14.0, 14, 3, 0, 5), (1, 3, "c", 0.0, 0, 3, 0, 50), (1, 4, "none", 3.0, 3, 3, 0, 0), (1, 5, "none", 0.0, 0, 3, 0, 0), (2, 0, "a", 300.0, 300, 9, 0, 110), (2, 1, "b", 15.0, 15, 3, 0, 5)]
+    want = [(1, 0, "a", 65.0, 65, 1, 0, 110), (1, 1, "b", 18.0, 18, 3, 0, 5), (1, 2, "b", 14.0, 14, 3, 0, 5), (1, 3, "c", 0.0, 0, 3, 0, 50), (1, 4, "none", 3.0, 3, 3, 0, 0), (1, 5, "none", 0.0, 0, 3, 0, 0), (2, 0, "a", 300.0, 300, 9, 0, 110), (2, 1, "b", 15.0, 15, 3, 0, 5), (2, 2, "a", 1e-6, 0, 2, 0, 0), (2, 3, "a", 1169.9, 0, 9, 0, 0), (2, 4, "a", 1170.1, 0, 9, 0, 0), (2, 5, "c", 5.0, 5, 0, 0, 0), (2, 6, "c", 5.0, 5, None, 0, 0)]
     got = {(r.run_id, r.stratum_idx): r for r in mixing.balanced(wanted(spark, want), sizes, ["run_id", "stratum_idx"], "stratum", "share", "max_repeats").collect()}
-    assert {k for k, r in got.items() if not r.reached} == {(1, 1), (1, 4)}
+    assert {k for k, r in got.items() if not r.reached} == {(1, 1), (1, 4), (2, 4), (2, 5), (2, 6)}
     import math
 
-    for key, by_size in (((1, 0), [(1, 100), (3, 10)]), ((2, 0), [(1, 100), (3, 10)]), ((1, 2), [(1, 5)])):
+    both = [(1, 100), (3, 10)]
+    for key, by_size in (((1, 0), both), ((2, 0), both), ((2, 2), both), ((2, 3), both), ((1, 2), [(1, 5)])):
         r = got[key]
         mass = sum(n * s * min(math.exp(r.multiplier * s), r.max_repeats) for s, n in by_size)
         assert mass == pytest.approx(r.share, rel=1e-8)
 
 
+def test_a_dual_that_is_not_solved_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    sizes = spark.createDataFrame([("a", 1, 100), ("a", 3, 10)], "stratum string, size int, n long")
+    with pytest.raises(ValueError):
+        mixing.balanced(wanted(spark, [(1, 0, "a", 65.0, 65, 1, 0, 110)]), sizes, ["run_id", "stratum_idx"], "stratum", "share", "max_repeats")
+
+
+def mixed(spark, records, want, goal="target", size=None):
+    sizes = records.where("n is not null and stratum is not null").groupBy("stratum", F.lit(1).alias("size") if size is None else F.col(size).alias("size")).agg(F.count("*").alias("n"))
+    solved = mixing.balanced(wanted(spark, want), sizes, ["run_id", "stratum_idx"], "stratum", goal, "max_repeats")
+    return mixing.mixture(records, "n", "stratum", solved, sizes, ["run_id", "stratum_idx"], "max_repeats", "seed", size)
+
+
 def test_copies_add_up_to_the_targets(spark):
     records = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(300)] + [(900, None), (None, "a")], "n long, stratum string")
-    sizes = records.where("n is not null and stratum is not null").groupBy("stratum").agg(F.count("*").alias("n")).withColumn("size", F.lit(1))
     want = [(1, 0, "a", 130.0, 130, 1, 7, 200), (1, 1, "b", 250.0, 250, 4, 8, 100), (2, 0, "b", 300.0, 300, 2, 9, 100), (2, 1, "a", 0.0, 0, 2, 9, 200), (3, 0, "a", 400.0, 400, 2, 9, 200), (4, 0, "b", 500.0, 500, 5, 1, 100)]
-    solved = mixing.balanced(wanted(spark, want), sizes, ["run_id", "stratum_idx"], "stratum", "share", "max_repeats")
-    got = mixing.mixture(records, "n", "stratum", solved.drop("n").join(wanted(spark, want).select("run_id", "stratum_idx", "n"), ["run_id", "stratum_idx"]), ["run_id", "stratum_idx"], "target", "max_repeats", "seed").collect()
     total, most = {}, {}
-    for r in got:
+    for r in mixed(spark, records, want).collect():
         key = (r.run_id, r.stratum_idx)
         total[key] = total.get(key, 0) + r.copies
         most[key] = max(most.get(key, 0), r.copies)
@@ -131,6 +158,19 @@ def test_copies_add_up_to_the_targets(spark):
     assert most == {(1, 0): 1, (1, 1): 3, (2, 0): 2, (3, 0): 2, (4, 0): 5}
 
 
+def test_records_with_sizes_fill_the_mass(spark):
+    rows = [(i, "a", 1 + i * i % 7) for i in range(600)]
+    records = spark.createDataFrame(rows, "n long, stratum string, tokens int")
+    mass, most = sum(r[2] for r in rows), {}
+    for share, cap in ((mass * 0.3, 4), (mass * 1.7, 4), (mass * 4.0, 4)):
+        got = mixed(spark, records, [(1, 0, "a", share, 0, cap, 5, 0)], "share", "tokens").collect()
+        assert abs(sum(r.tokens * r.copies for r in got) - share) <= 7
+        assert max(r.copies for r in got) <= cap
+        for r in got:
+            most.setdefault((share, r.tokens), set()).add(r.copies)
+    assert all(max(c) - min(c) <= 1 for c in most.values())
+
+
 def test_quotas_follow_the_weights(spark):
     strata = spark.createDataFrame([(1, 0, "a", 5.0), (1, 1, "b", 2.0), (1, 2, "c", None), (2, 0, "a", 0.0), (3, 0, "a", 1.0), (3, 1, "b", 1.0), (3, 2, "c", 1.0)], "run_id long, stratum_idx int, stratum string, weight double").selectExpr("*", "1L as target", "1L as kept")
     runs = spark.createDataFrame([(1, 70, None), (2, 10, None), (3, 10, None)], "run_id long, target_n long, total_written long")
@@ -138,10 +178,11 @@ def test_quotas_follow_the_weights(spark):
     assert got == {(1, 0): 50, (1, 1): 20, (1, 2): 0, (2, 0): 0, (3, 0): 4, (3, 1): 3, (3, 2): 3}
 
 
-def test_too_many_runs_are_refused(spark):
-    runs = spark.range(reservoir.MOST_RUNS + 1).selectExpr("id as run_id", "id as seed", "1L as target_n")
-    with pytest.raises(ValueError):
-        reservoir.fixed_size(spark.range(3).withColumnRenamed("id", "n"), "n", runs)
+def test_more_runs_than_stand_in_one_plan(spark, monkeypatch):
+    monkeypatch.setattr(reservoir, "RUNS_AT_ONCE", 3)
+    runs = spark.range(8).selectExpr("id as run_id", "id as seed", "4L as target_n")
+    got = reservoir.fixed_size(spark.range(50).withColumnRenamed("id", "n"), "n", runs).groupBy("run_id").count().collect()
+    assert {r["count"] for r in got} == {4} and len(got) == 8
 
 
 CLASHES = ("_hi", "_lo", "_k0", "_k", "_b", "_in", "_row", "_number", "_seed", "_rate", "_cut", "_base", "_extra", "_halvings", "_source", "run_id", "stratum_idx", "copies", "target_n", "seed", "a.b")
@@ -156,11 +197,8 @@ def test_columns_of_any_name_come_through(spark):
     assert {r["_hi"] + r["a.b"] for r in got.collect()} == {"xx"}
     sampled = feistel.sample(records.drop("seed").withColumn("seed", F.lit(1).cast("long")).withColumn("sample_rate", F.lit(1.0)), "n")
     assert sampled.count() == 50 and set(sampled.columns) == {"n", "stratum", "sample_rate", *CLASHES}
-    sizes = spark.createDataFrame([("a", 1, 50)], "stratum string, size int, n long")
-    want = wanted(spark, [(1, 0, "a", 70.0, 70, 2, 7, 50)])
-    solved = mixing.balanced(want, sizes, ["run_id", "stratum_idx"], "stratum", "share", "max_repeats")
-    mixed = mixing.mixture(records, "n", "stratum", solved, ["run_id", "stratum_idx"], "target", "max_repeats", "seed")
-    assert set(mixed.columns) == {"n", "stratum", *CLASHES} and sum(r.copies for r in mixed.collect()) == 70
+    got = mixed(spark, records, [(1, 0, "a", 70.0, 70, 2, 7, 50)])
+    assert set(got.columns) == {"n", "stratum", *CLASHES} and sum(r.copies for r in got.collect()) == 70
 
 
 random.seed(0)
