@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from grammarlens.functions.uri import is_listed
 from grammarlens.session import staged
 
-#: Bits of a segment, which is what is sent around; bits set for a line; bits kept for a line.
-SEGMENT, HASHES, PER_LINE = 1 << 15, 3, 16
-#: The merged filter has at most so many segments (64 MB), which bounds what is broadcast. Beyond that
-#: more lines take the exact way than need to; the result is the same.
-MOST_SEGMENTS = 1 << 14
+#: Bits of a segment, which is what is sent around; bits kept for a line; most bits set for a line.
+SEGMENT, PER_LINE, HASHES = 1 << 15, 16, 3
+#: The merged filter has at most so many segments (256 MB), which bounds what is broadcast. From 134 million
+#: lines on there are fewer bits for each, of which fewer are set, and more lines take the exact way than need
+#: to (a fifth of the single ones at half a billion lines, two fifths at a billion); the result is the same.
+MOST_SEGMENTS = 1 << 16
 #: A form is hot if it has more than this share of the lines, so there are at most 1/HOT of them.
 HOT = 1e-3
 
@@ -51,14 +52,20 @@ def with_form(lines: DataFrame, line: str = "uri") -> DataFrame:
     return parts.withColumn("form", form).drop("_r", "_main", "_head", "_query")
 
 
-def _places(hashes: np.ndarray, segments: int) -> np.ndarray:
+def sized(rows: int) -> tuple[int, int]:
+    """Segments of the filters for so many lines, and how many bits of them a line sets."""
+    segments = min(MOST_SEGMENTS, max(1, -(-rows * PER_LINE // SEGMENT)))
+    return segments, max(1, min(HASHES, round(segments * SEGMENT / max(rows, 1) / 4)))
+
+
+def _places(hashes: np.ndarray, segments: int, each: int) -> np.ndarray:
     """The bits of each hash, all in one segment, as numbers of bits in the whole filter."""
     h = hashes.view(np.uint64)
     segment = (h >> np.uint64(45)) % np.uint64(segments)
-    return np.concatenate([segment * np.uint64(SEGMENT) + ((h >> np.uint64(15 * i)) & np.uint64(SEGMENT - 1)) for i in range(HASHES)]).astype(np.int64)
+    return np.concatenate([segment * np.uint64(SEGMENT) + ((h >> np.uint64(15 * i)) & np.uint64(SEGMENT - 1)) for i in range(each)]).astype(np.int64)
 
 
-def _filled(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
+def _filled(batches: Iterator[pa.RecordBatch], segments: int, each: int) -> Iterator[pa.RecordBatch]:
     """The two filters of a partition, as compressed segments."""
     bits, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     held: list[np.ndarray] = []
@@ -68,7 +75,7 @@ def _filled(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.Rec
         return found, np.bincount(at, np.concatenate([counts, np.ones(len(at) - len(counts))])).astype(np.int64)
 
     for batch in batches:
-        held.append(_places(batch.column(0).to_numpy(zero_copy_only=False), segments))
+        held.append(_places(batch.column(0).to_numpy(zero_copy_only=False), segments, each))
         if sum(map(len, held)) > 1 << 22:
             bits, counts = folded()
             held = []
@@ -99,32 +106,42 @@ def _merged(segment: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": segment["segment"].iloc[:1], "words": [words.tolist()]})
 
 
-def seen_again(hashes: DataFrame, segments: int) -> DataFrame:
+def seen_again(hashes: DataFrame, segments: int, each: int) -> DataFrame:
     """The merged filter of hashes (one bigint column) seen more than once: segment and its words."""
-    parts = hashes.mapInArrow(lambda it: _filled(it, segments), "segment int, once binary, again binary")
+    parts = hashes.mapInArrow(lambda it: _filled(it, segments, each), "segment int, once binary, again binary")
     return parts.groupBy("segment").applyInPandas(_merged, "segment int, words array<bigint>")
 
 
-def _may_repeat(words: str, h: str) -> str:
+def _may_repeat(words: str, h: str, each: int) -> str:
     """All bits of the hash are set in the words of its segment."""
     bit = lambda i: f"(shiftrightunsigned({h}, {15 * i}) & {SEGMENT - 1})"
-    return " and ".join(f"shiftrightunsigned({words}[cast(shiftright({bit(i)}, 6) as int)], cast({bit(i)} & 63 as int)) & 1 = 1" for i in range(HASHES))
+    return " and ".join(f"shiftrightunsigned({words}[cast(shiftright({bit(i)}, 6) as int)], cast({bit(i)} & 63 as int)) & 1 = 1" for i in range(each))
 
 
-def split_repeats(lines: DataFrame, rows: int, form: str = "form") -> tuple[DataFrame, DataFrame]:
+def tested(hashed: DataFrame, rows: int) -> DataFrame:
+    """hashed, which has a hash _h, with _may: whether another row may have the same. rows sets the size of the filters."""
+    segments, each = sized(rows)
+    # Broadcast, as it is never over MOST_SEGMENTS.
+    filter_ = F.broadcast(seen_again(hashed.select("_h"), segments, each))
+    met = hashed.withColumn("segment", F.expr(f"cast(shiftrightunsigned(_h, 45) % {segments} as int)")).join(filter_, "segment")
+    return met.withColumn("_may", F.expr(_may_repeat("words", "_h", each))).drop("segment", "words")
+
+
+def split_repeats(lines: DataFrame, rows: int, form: str = "form", both: bool = False) -> tuple[DataFrame, DataFrame]:
     """Lines that may have an equal, and lines that certainly have none.
 
-    rows is an upper bound of the number of lines, which sets the size of the filters.
+    rows is an upper bound of the number of lines. The repeats are read several times from
+    here on, so they are written once; with both, the others are written with them, or they
+    would be computed once more.
     """
-    segments = min(MOST_SEGMENTS, max(1, -(-rows * PER_LINE // SEGMENT)))
     # Generated columns, because a filter on projected ones would be moved below all the steps
     # of the form, where it would repeat the whole reduction each time it names the hash.
     others = [c for c in lines.columns if c != form]
     hashed = lines.select(*others, F.inline(F.array(F.struct(F.col(form), F.xxhash64(form).alias("_h")))))
-    filter_ = seen_again(hashed.select("_h"), segments)
-    tested = hashed.withColumn("segment", F.expr(f"cast(shiftrightunsigned(_h, 45) % {segments} as int)")).join(F.broadcast(filter_), "segment")
-    may = tested.withColumn("_may", F.expr(_may_repeat("words", "_h"))).drop("segment", "words", "_h")
-    # The repeats are read three times from here on, so they are written once.
+    may = tested(hashed, rows).drop("_h")
+    if both:
+        may = staged(may, "lines")
+        return may.where("_may").drop("_may"), may.where("not _may").drop("_may")
     return staged(may.where("_may").drop("_may"), "repeats"), may.where("not _may").drop("_may")
 
 

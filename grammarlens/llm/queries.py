@@ -163,7 +163,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_records(spark: SparkSession, sf: str) -> DataFrame:
     """One record for each form, with the line of its smallest number and the number of copies."""
     all_lines, rows = _lines(spark, sf)
-    repeats, alone = copies.split_repeats(all_lines, rows)
+    repeats, alone = copies.split_repeats(all_lines, rows, both=True)
     found = copies.groups(repeats)
     kept = repeats.join(found.select(F.col("keep_id").alias("uri_id"), "copies"), "uri_id")
     return alone.select("uri_id", "uri", F.lit(1).cast("bigint").alias("copies")).unionByName(kept.select("uri_id", "uri", "copies")).withColumnRenamed("uri_id", "keep_id")

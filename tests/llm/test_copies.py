@@ -38,7 +38,7 @@ def run(spark, rows, wide="uri_id long, uri string"):
     table = spark.createDataFrame(rows, wide)
     half = len(rows) // 2
     lines = copies.lines(table.where(f"uri_id < {half}").selectExpr("*", "1 as form", "2 as segment"), table.where(f"uri_id >= {half}"))
-    repeats, alone = copies.split_repeats(lines, len(rows))
+    repeats, alone = copies.split_repeats(lines, len(rows), both=len(rows) % 2 == 0)
     found = copies.groups(repeats)
     return {tuple(r) for r in copies.members(repeats, found, len(rows)).collect()}, lines, repeats, alone
 
@@ -57,6 +57,11 @@ def test_a_full_filter_costs_only_false_repeats(spark, monkeypatch):
     assert run(spark, rows)[0] == brute(rows)
 
 
+def test_fewer_bits_are_set_where_there_are_fewer_for_a_line():
+    assert copies.sized(0) == (1, 3) and copies.sized(1_000_000) == (489, 3)
+    assert copies.sized(10**8)[1] == 3 and copies.sized(3 * 10**8)[1] == 2 and copies.sized(10**9) == (1 << 16, 1)
+
+
 def test_a_hot_form(spark):
     rows = [(i, "http://hot/" + "." * (i % 7)) for i in range(3000)] + [(i, f"http://h/{i % 4000}") for i in range(3000, 9000)]
     assert run(spark, rows)[0] == brute(rows)
