@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grammarlens.session import staged
+
 KINDS = ("email", "idnum", "phone", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 THRESHOLD = 3
-#: The list of name parts goes to every task, so its size is checked.
-MOST_NAME_PARTS = 1_000_000
+#: Texts of more characters than this are spread over tasks.
+SPREAD_OVER = 1 << 20
 
 
 class Span(NamedTuple):
@@ -33,20 +35,30 @@ class Span(NamedTuple):
 
 # --- e-mail addresses --------------------------------------------------------------------
 
-_AT = re.compile(r"(?:\\,|\$)?@(?:\\,|\$)?|\s*[(\[{<]\s*(?:at|AT|At)\s*[)\]}>]\s*|\s+AT\s+")
-_LOCAL = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9.+%'\-]|\\?_)*)?[A-Za-z0-9]$")
+# Begins with a class, which is looked for much faster than alternatives.
+_AT = re.compile(r"[@A(\[{<](?:(?<=@)(?:\\,|\$)?|(?<=\sA)T\s+|(?<=[(\[{<])\s*(?:at|AT|At)\s*[)\]}>]\s*)")
+_LOCAL_END = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9.+%'\-]|\\?_)*)?[A-Za-z0-9]\Z")
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _DOT = r"(?:\.|\s*[(\[{<]\s*(?:dot|DOT|Dot)\s*[)\]}>]\s*|\s+DOT\s+|\\,\.\\,)"
 _DOMAIN = re.compile(rf"(?:{_LABEL}{_DOT})+[A-Za-z]{{2,24}}(?![A-Za-z0-9])")
-_BARE_AT = re.compile(r"^\s+AT\s+$")
 
 
 def emails(text: str) -> Iterator[Span]:
     for at in _AT.finditer(text):
         domain = _DOMAIN.match(text, at.end())
-        local = domain and _LOCAL.search(text, max(0, at.start() - 80), at.start())
+        if not domain:
+            continue
+        end = at.start()
+        if at[0][0] == "@":
+            end -= 2 if text.endswith("\\,", 0, end) else text.endswith("$", 0, end)
+        while end and at[0][0] != "@" and text[end - 1].isspace():
+            end -= 1
+        begin = end  # the whole of what may be a local part, however long it is
+        while begin and (text[begin - 1] in ".+%'-_\\" or text[begin - 1].isascii() and text[begin - 1].isalnum()):
+            begin -= 1
+        local = _LOCAL_END.search(text, begin, end)
         # Two spelled-out words need a spelled-out dot as well.
-        if local and not (_BARE_AT.match(at[0]) and not re.search(r"(?i)dot", domain[0])):
+        if local and not (at[0].startswith("AT") and not re.search(r"(?i)dot", domain[0])):
             yield Span(local.start(), domain.end(), "email")
 
 
@@ -63,7 +75,12 @@ _PHONE = re.compile(
     rf")(?!\d|[\-.]?\d|-[A-Za-z]|[A-Za-z])"
 )
 _CALLED = re.compile(r"(?i)(?:tel|phone|fax|cell|call|mobile?|telefon|labphone)[^\n]{0,12}$|,\s*$|fax:?\s*$")
-_COUNTED = re.compile(r"(?i)(?:grant|run|isbn|issn|compound|data ?set|seed|doi|pp\.|job|version|energies are|orcid|id|no\.)[\s~:]*$")
+#: What numbers other than telephone numbers are of: things that are numbered or measured.
+_COUNTED = re.compile(
+    r"(?i)(?:\b(?:grants?|awards?|projects?|contracts?|runs?|jobs?|batch(?:es)?|lots?|samples?|specimens?|compounds?|isbn|issn|doi|data ?sets?|seeds?|pp?\.|pages?|versions?|builds?|releases?|orcid|id|no\.|nr\.|numbers?"
+    r"|codes?|serial|accession|catalog(?:ue)?|chapters?|sections?|eqs?\.|figs?\.|tables?|ref(?:s|\.)?|entr(?:y|ies)|items?|cas)"
+    r"|\b(?!phone|fax|tel|number|line|contact|mobile|cell|extension)\w+\s+(?:is|are|was|were|equals?|=|of|between|from))[\s~:#]*$"
+)
 
 #: Any number in groups, on one line, right after a label.
 _NUMBER_GAP = r"(?:--|[\-. ~\u00a0\u2009\u202f\u2010-\u2014]|\\[,; ]|\\~\{\}| ?/ ?)"
@@ -111,19 +128,27 @@ def check_character(digits: str) -> str:
     return "0123456789X"[(12 - total) % 11]
 
 
+#: A text without any of these words has no named number.
+_NAMED_WORDS = ("ssn", "soc", "passport", "card")
+
+
 def idnums(text: str) -> Iterator[Span]:
     for m in _ISO7064.finditer(text):
         bare = "".join(c for c in m[0] if c.isalnum()).upper()
         before = text[max(0, m.start() - 16) : m.start()]
         if check_character(bare[:-1]) == bare[-1] and not re.search(r"(?i)data\s*set[\s~]*$", before):
             yield Span(m.start(), m.end(), "idnum")
-    for m in _NAMED.finditer(text):
+    low = text.lower()
+    for m in _NAMED.finditer(text) if any(w in low for w in _NAMED_WORDS) else ():
         yield Span(*m.span("ssn" if m["ssn"] else "card"), "idnum")
 
 
 # --- street addresses --------------------------------------------------------------------
 
-_UPPER, _LETTER = r"A-Z\u00c0-\u00d6\u00d8-\u00de\u0100-\u017f", r"A-Za-z\u00aa\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0300-\u036f"
+# Latin, Greek and Cyrillic; scripts without capitals are found by lists of names only.
+_UPPER = r"A-Z\u00c0-\u00d6\u00d8-\u00de\u0100-\u017f\u0386-\u038f\u0391-\u03ab\u0400-\u042f"
+_LETTER = r"A-Za-z\u00aa\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0300-\u036f\u0370-\u03ff\u0400-\u052f"
+_DENSE = r"\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3"
 _ACCENT = r"(?:\{?\\(?:[\"'`^~=.]\s?(?:\{\\?[A-Za-z]\s?\}|\\?[A-Za-z])|[uvHcdbkr]\{[A-Za-z]\}|(?:aa|AA|ae|AE|oe|OE|ss|[oOlLij])(?:\{\}|\s(?=[a-z])|(?![A-Za-z])))\}?)"
 _WORD = rf"(?:[{_UPPER}]|{_ACCENT})(?:[{_LETTER}]|{_ACCENT})*(?:['’\-][{_LETTER}](?:[{_LETTER}]|{_ACCENT})*)*"
 _S = r"(?:[ \t\u00a0\u2009\u202f]*\r?\n(?:%+)?[ \t]*|[ \t\u00a0\u2009\u202f]+|~|\\ |\\,)"
@@ -136,11 +161,19 @@ _ADDRESS = re.compile(
     rf"|{_WORD}(?:(?<=stra)(?:ß|ss)e|(?<=stra)\\ss\{{\}}e|(?<=str)\.|(?<=weg)|(?<=platz)|(?<=gasse)|(?<=allee)|(?<=straße)|(?<=strasse)|(?<=\\ss\{{\}}e)){_S}{_NO}"
     rf")"
 )
+_ELSEWHERE = re.compile("[\u0400-\u04ff\u4e00-\u9fff]")
+_ADDRESS_ELSEWHERE = re.compile(
+    rf"[уУпПнНшШбБ\u4e00-\u9fff](?:(?<!\w.)(?i:(?<=у)(?:л\.|лица)|(?<=п)(?:роспект|росп\.|р\.|лощадь|л\.|ереулок|ер\.)|(?<=н)(?:абережная|аб\.)|(?<=ш)оссе|(?<=б)ульвар){_S}?{_WORD}(?:{_S}{_WORD})?,?{_S}(?:(?:д\.|дом){_S}?)?\d{{1,4}}[а-яА-Яa-zA-Z]?(?:[/\-]\d{{1,4}})?(?!\w)"
+    rf"|(?<=[\u4e00-\u9fff])(?<![省市区县镇乡在于是到住见])(?:(?![省市区县镇乡在于是到住见])[\u4e00-\u9fff]){{0,4}}?(?:大街|大道|路|街|巷|胡同){_S}?\d{{1,5}}{_S}?[号號])"
+)
 
 
 def addresses(text: str) -> Iterator[Span]:
     for m in _ADDRESS.finditer(text):
         yield Span(m.start(), m.end(), "address")
+    if not text.isascii() and _ELSEWHERE.search(text):
+        for m in _ADDRESS_ELSEWHERE.finditer(text):
+            yield Span(m.start(), m.end(), "address")
 
 
 # --- names -------------------------------------------------------------------------------
@@ -151,23 +184,36 @@ _INITIAL = rf"[{_UPPER}]\.(?:-?[{_UPPER}]\.)*"
 _RUN = re.compile(rf"(?<![\w\\@.\-'’]){_NAMEWORD}(?:{_S}?,{_S}{_NAMEWORD}|{_S}(?:{_INITIAL}(?![A-Za-z])|(?:{_PARTICLE}{_S}){{0,2}}{_NAMEWORD}))+")
 _TOKEN = re.compile(rf"(?P<comma>,)|(?P<initial>{_INITIAL}(?![A-Za-z]))|(?P<particle>{_PARTICLE}(?={_S}))|(?P<word>{_NAMEWORD})")
 _LED = re.compile(rf"(?:(?<!\w){_PARTICLE}{_S}){{1,2}}$")
-#: What stands right before a person.
+#: What stands right before a person and makes two capitalized words a name that no list has: titles, author fields
+#: of LaTeX and BibTeX, verbs of speaking to somebody, words for persons and for what they exchange, what was done by
+#: them or given to them, the name in a note of source text, and labels of people in forms and letters.
+_TITLE = r"(?:Mrs?|Ms|Dr|Prof|Fr|Hr|Sra?|St)\.|(?:Miss|Mme|Mlle|Professor|Doctor|Herrn?|Frau|Monsieur|Madame|Señora?)\b"
 _INTRODUCED = re.compile(
-    r"(?:\\author(?:\[[^\]]*\])?\s*\{|\\and|\bauthor\s*=\s*[{\"]|\bdiscussions\s+with|\bthank|\bsent\s+to|\bdetector\s+to|\bcolleague|\bnoticed\s+by|\bletter:|\bask|\bNOTE\(|\bvolunteer\s+\("
-    r"|\b(?:Mrs?|Ms|Miss|Dr|Prof)\.)[\s%~]*(?:\b(?:Mrs?|Ms|Dr|Prof)\.[\s~]*)*$"
+    r"(?:\\author(?:\[[^\]]*\])?\s*\{|\\and|\b(?:author|editor)\s*=\s*[{\"]"
+    r"|(?i:\b(?:thank|thanks\s+to|ask|tell|told|contact|e-?mail|phone|consult|invite|meet|met|visit|remind|inform|notify|congratulate|credit|acknowledge)(?:s|ed|ing)?)"
+    r"|(?i:\b(?:discussions?|conversations?|correspondence|communications?|collaborations?|letters?|e-?mails?|talks?|meetings?|exchanges?|work(?:ed|ing)?|visits?)\s+(?:with|from|to|by))"
+    r"|(?i:\b(?:colleagues?|volunteers?|participants?|patients?|students?|authors?|editors?|referees?|reviewers?|supervisors?|advis[eo]rs?|collaborators?|friends?|donors?|witness(?:es)?|respondents?|teachers?|assistants?)(?:\s*[(,:])?)"
+    r"|(?i:\b(?:noticed|noted|observed|suggested|proposed|pointed\s+out|communicated|found|shown|proved|proven|provided|reported|written|reviewed|remarked|conjectured|introduced|supplied|discovered|asked|raised|taken|signed)\s+by)"
+    r"|(?i:\b(?:sen[dt]|ships?|shipped|mail|lend|lent|giv(?:e|en)|hand(?:ed)?|forward(?:ed)?|return(?:ed)?|submit(?:ted)?|address(?:ed)?|assign(?:ed)?|deliver(?:ed)?|bring|brought|show)(?:\s+(?!to\b)[\w'\-]+){0,4}\s+to)"
+    r"|\b(?:NOTE|TODO|FIXME|XXX|REVIEW|CHECK)\s*\("
+    r"|(?i:\b(?:letter|contact|attn\.?|attention|author|reviewer|editor|signed|name|cc)\s*:)"
+    rf"|{_TITLE})[\s%~]*(?:(?:{_TITLE})[\s~]*)*$"
 )
 #: What stands before or after people, but not only there: confirms a name of which the list has one part.
 _BEFORE = re.compile(
-    r"(?i)(?<![\w\\])(?:by|with|to|from|of|following|after|per|see|via|thank\w*|acknowledg\w+|met|meet\w*|visit\w*|contact\w*|consult\w*|invit\w+|ask\w*|told|tell|remember\w*|join\w*|congratulat\w+|credit\w*"
+    r"(?i)(?<![\w\\])(?:by|with|to|from|of|following|after|per|see|via|thank\w*|acknowledg\w+|met|meet\w*|visit\w*|contact\w*|consult\w*|invit\w+|ask\w*|told|tell|remember\w*|join\w*|congratulat\w+|credit\w*|late|guests?|speakers?|lecturers?|chairs?|investigators?|inventors?|translators?"
     r"|colleagues?|co-?authors?|collaborators?|students?|advis[eo]rs?|supervisors?|friends?|teachers?|editors?|referees?|authors?|professor|doctor|sir|lady"
     r"|von|mit|durch|bei|dank\w*|herrn?|frau|kolleg\w+|par|avec|chez|merci|monsieur|madame|mm?e|mlle|por|con|gracias|señora?|sra?)\b\.?[\s~:({]*$"
 )
 _AFTER = re.compile(
     r"[})]*,?\s++(?:(?:who|whom|whose)\b|(?:(?:has|had|have|also|first|kindly|independently)\s+){0,2}(?:pointed\s+out|noted|noticed|suggested|asked|wrote|said|told|showed|proposed|found|observed|explained|provided|helped|kindly|agreed|remarked|conjectured|reported)\b)"
+    r"|[})]*,?\s++(?:\(?(?:private|personal|pers\.|priv\.)\s+comm|(?:and|et)\s+(?:co-?workers|collaborators|colleagues|al\b))"
 )
 #: Between the people of a list; a title may follow.
 _LISTED = r"\s*+(?:[,;]\s*+(?:(?:and|und|et|y)\b|\\?&)?|\\and\b|(?<=[\s~])(?:and|und|et|y|\\?&)(?=[\s~]))[\s~]*+(?:(?:Mrs?|Ms|Dr|Prof)\.[\s~]*+)*+"
+_PAIRED = re.compile(r"\s+(?:and|und|et|y|\\?&)[\s~]+")
 _LISTED_AFTER, _LISTED_BEFORE = re.compile(_LISTED), re.compile(rf"(?<![\s,;]){_LISTED}\Z")
+_WITHIN = re.compile(r"[^\W\d_A-Z]{2}[\s~]+\(?\Z|[,;:(][\s~]*\Z")
 _TO_CONTACT = re.compile(r"(?:(?![.?!;]\s|\r?\n\s*\r?\n)[\s\S])*")
 _FROM_CONTACT = re.compile(r"[ \t~:,(){}<>\-]{0,6}")
 #: Written with a capital at the start of a sentence or of a label, and no names unless the list has them.
@@ -199,6 +245,9 @@ class Names:
         self.roles: dict[str, set[str]] = {}
         for part, role in parts:
             self.roles.setdefault(folded(part), set()).add(role)
+        one = re.compile(rf"[{_DENSE}]+")
+        families, givens = ("|".join(sorted((re.escape(p) for p, r in parts if r == role and one.fullmatch(p)), key=len, reverse=True)) for role in ("family", "given"))
+        self.side_by_side = re.compile(f"(?:{families})[ ·]?(?:{givens})") if families and givens else None
 
     def has(self, word: str, role: str) -> bool:
         key = folded(word)
@@ -221,12 +270,13 @@ class Names:
         longer = {sure[i].start for m in more if (i := bisect_right(starts, m.start)) < len(sure) and sure[i].start < m.end}
         yield from (s for s in sure if s.start not in longer)
         yield from more
+        yield from self.dense(text)
 
     def _of_run(self, text: str, start: int, end: int, sure: list[Span], half: list[tuple[Span, list[str]]]) -> None:
         tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
         at = 0
         while at < len(tokens):
-            got = self._from(text, tokens, at)
+            got = self._from(text, tokens, at, sure)
             if got:
                 span, at = got
                 sure.append(span)
@@ -299,8 +349,16 @@ class Names:
                 return True
             return bool(i and contacts[i - 1].end <= s.start and _FROM_CONTACT.fullmatch(text, contacts[i - 1].end, s.start))
 
+        def small(word: str) -> bool:
+            return word in text and bool(re.search(rf"(?<!\w){re.escape(word)}(?!\w)", text))
+
+        def proper(s: Span) -> bool:
+            """Within a sentence, of words that the text nowhere writes small."""
+            words = (m["word"].lower() for m in _TOKEN.finditer(text, s.start, s.end) if m["word"])
+            return bool(_WITHIN.search(text, max(0, s.start - 8), s.start)) and not any(map(small, words))
+
         def shown(s: Span) -> bool:
-            return bool(_BEFORE.search(text, max(0, s.start - 40), s.start) or _AFTER.match(text, s.end)) or beside(s)
+            return bool(_BEFORE.search(text, max(0, s.start - 40), s.start) or _AFTER.match(text, s.end)) or beside(s) or proper(s)
 
         def joined(s: Span, words: list[str]) -> bool:
             before = _LISTED_BEFORE.search(text, max(0, s.start - 24), s.start)
@@ -326,13 +384,13 @@ class Names:
             # Each found one may confirm others before and after it.
             todo, test = left[::-1], joined
 
-    def _from(self, text: str, tokens: list[tuple], at: int) -> tuple[Span, int] | None:
-        """The name that begins with this token, and the token after it."""
+    def _from(self, text: str, tokens: list[tuple], at: int, sure: list[Span]) -> tuple[Span, int] | None:
+        """The name that begins with this token, and the token after it. sure: the names found before it."""
         kind, word, start, _ = tokens[at]
         if kind != "word":
             return None
         before = text[max(0, start - 40) : start]
-        introduced = bool(_INTRODUCED.search(before)) or (at == 0 and before.rstrip().endswith(" and") and self._introduced_pair(text, start))
+        introduced = bool(_INTRODUCED.search(before)) or (at == 0 and bool(sure) and self._after_introduced(text, sure[-1], start))
         led = _LED.search(before) if at == 0 or tokens[at - 1][0] != "word" else None
         if at + 2 < len(tokens) and tokens[at + 1][0] == "comma" and tokens[at + 2][0] == "word" and len(tokens[at + 2][1]) > 1:
             begin = led.start() + max(0, start - 40) if led else start
@@ -369,9 +427,16 @@ class Names:
             return None
         return (Span(start, tokens[last][3], "name"), last + 1) if score >= THRESHOLD else None
 
-    def _introduced_pair(self, text: str, start: int) -> bool:
-        """After "discussions with A and": the second of two people."""
-        return bool(re.search(rf"\bdiscussions\s+with\s(?:[^.]|(?<=\b[{_UPPER}])\.){{3,90}}\sand\s+$", text[max(0, start - 120) : start]))
+    def _after_introduced(self, text: str, last: Span, start: int) -> bool:
+        """The second of two people of whom the first was introduced by what stands before."""
+        joined = start - last.end <= 12 and _PAIRED.fullmatch(text, last.end, start)
+        return bool(joined and _INTRODUCED.search(text[max(0, last.start - 40) : last.start]))
+
+    def dense(self, text: str) -> Iterator[Span]:
+        """Listed family and given names side by side, in scripts without capitals and spaces."""
+        if self.side_by_side:
+            for m in self.side_by_side.finditer(text):
+                yield Span(m.start(), m.end(), "name")
 
 
 # --- all kinds ---------------------------------------------------------------------------
@@ -384,12 +449,15 @@ def found(text: str | None, names: Names) -> list[Span]:
     taken: list[Span] = []
     contacts: list[Span] = []
     for spans in (emails(text), idnums(text), phones(text), addresses(text), names.spans(text, contacts)):
-        for s in spans:
-            if not any(s.start < t.end and t.start < s.end for t in taken):
-                taken.append(s)
-                if s.kind in ("email", "idnum", "phone"):
-                    contacts.append(s)
-    return sorted(taken)
+        new = []
+        for s in sorted(spans, key=lambda s: (s.start, -s.end)):
+            i = bisect_right(taken, s.start, key=lambda t: t.start)
+            free = (not i or taken[i - 1].end <= s.start) and (i == len(taken) or s.end <= taken[i].start)
+            if free and (not new or new[-1].end <= s.start):
+                new.append(s)
+        taken = sorted([*taken, *new])
+        contacts += [s for s in new if s.kind in ("email", "idnum", "phone")]
+    return taken
 
 
 def replaced(text: str | None, spans: list[Span]) -> str | None:
@@ -403,20 +471,13 @@ def replaced(text: str | None, spans: list[Span]) -> str | None:
 
 
 SCHEMA = "doc_id bigint, text string, items array<struct<kind:string,found:string>>"
+ITEMS = pa.list_(pa.struct([("kind", pa.string()), ("found", pa.string())]))
+_PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
 
-def redacted(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the text with placeholders, and the items that were there.
-
-    A null text stays null, an empty one empty, both without items; a repeated row is
-    treated like any other; null name parts or roles are ignored; extra columns are
-    dropped. Everything outside the spans is unchanged to the character.
-    """
-    parts = [(r[0], r[1]) for r in name_parts.where("name_part is not null and part_role is not null").select("name_part", "part_role").distinct().limit(MOST_NAME_PARTS + 1).collect()]
-    if len(parts) > MOST_NAME_PARTS:
-        raise ValueError(f"more than {MOST_NAME_PARTS} name parts")
-    shared = documents.sparkSession.sparkContext.broadcast(parts)
-    item = pa.list_(pa.struct([("kind", pa.string()), ("found", pa.string())]))
+def _sought(rows: DataFrame, key: str, kind: str, parts: DataFrame, text: str = "text") -> DataFrame:
+    """key, text with placeholders and items of each row; parts has the name parts with their roles."""
+    shared = rows.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in parts.collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(shared.value)
@@ -426,10 +487,49 @@ def redacted(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", t
                 texts = part.column(1).to_pylist()
                 spans = [found(t, names) for t in texts]
                 out = pa.array([replaced(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())
-                items = pa.array([[{"kind": s.kind, "found": t[s.start : s.end]} for s in x] for t, x in zip(texts, spans, strict=True)], item)
-                yield pa.RecordBatch.from_arrays([part.column(0), out, items], names=["doc_id", "text", "items"])
+                items = pa.array([[{"kind": s.kind, "found": t[s.start : s.end]} for s in x] for t, x in zip(texts, spans, strict=True)], ITEMS)
+                yield pa.RecordBatch.from_arrays([part.column(0), out, items], names=["key", "text", "items"])
 
-    return documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, text string, items array<struct<kind:string,found:string>>")
+
+
+def paragraphs(text: str, size: int) -> list[str]:
+    """text in parts of at least size characters, each up to the end of a paragraph; no item goes over a blank line."""
+    out, at = [], 0
+    while at < len(text):
+        end = _PARAGRAPH.search(text, at + size)
+        out.append(text[at : end.end() if end else len(text)])
+        at += len(out[-1])
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([paragraphs(t, size) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["row", "doc_id", "parts"])
+
+
+def redacted(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text", spread_over: int = SPREAD_OVER) -> DataFrame:
+    """doc_id, the text with placeholders, and the items that were there.
+
+    A null text stays null, an empty one empty, both without items; a repeated row is
+    treated like any other; null name parts or roles are ignored; extra columns are
+    dropped. Everything outside the spans is unchanged to the character. Texts of more than
+    spread_over characters are spread over tasks in parts that end with a paragraph; what
+    confirms a name has to stand in the same part. name_parts is a list of words that each
+    task has whole.
+    """
+    parts = name_parts.where("name_part is not null and part_role is not null").select("name_part", "part_role").distinct()
+    texts = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    fits = F.col("text").isNull() | (F.length("text") <= spread_over)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    short = _sought(texts.where(fits), "doc_id", kind, parts).withColumnRenamed("key", "doc_id")
+    numbered = texts.where(~fits).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    cut = staged(numbered.mapInArrow(lambda it: _cut(it, max(1, spread_over // 4)), f"row bigint, doc_id {kind}, parts array<string>").select("row", "doc_id", F.posexplode("parts").alias("no", "text")), "parts")
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = cut.select(F.struct("row", "doc_id", "no").alias("at"), "text").repartition(tasks, "at")
+    done = _sought(named, "at", named.schema["at"].dataType.simpleString(), parts).groupBy("key.row", "key.doc_id").agg(F.array_sort(F.collect_list(F.struct("key.no", "text", "items"))).alias("all"))
+    whole = done.select("doc_id", F.array_join("all.text", "").alias("text"), F.flatten("all.items").alias("items"))
+    return short.unionByName(whole)
 
 
 def items(redactions: DataFrame) -> DataFrame:

@@ -34,6 +34,11 @@ NAMES = pii.Names([p for p in PARTS if None not in p])
         (r"discussions with Unk D. Nownname and Corn Unk we", [("name", "Unk D. Nownname"), ("name", "Corn Unk")]),
         (r"\author{Mouda, C. \and C.~Groto}", []),
         ("By Mouda's lemma. Following Mouda and Groto, the Klos corpus (Mouda, 2019). Institute of Mouda, Corn Mouda Institute", []),
+        ("见长安街12号，ул. Ленина, д. 5 и улица Мира 7", [("address", "长安街12号"), ("address", "ул. Ленина, д. 5"), ("address", "улица Мира 7")]),
+        ("x" * 300 + "@a.example", [("email", "x" * 300 + "@a.example")]),
+        ("We wrote to Unk Nownname and Other Unk, who agreed", []),
+        ("an email from Unk Nownname and Other Unk came", [("name", "Unk Nownname"), ("name", "Other Unk")]),
+        ("the energies are 312 555 0105, my phone is 312 555 0106", [("phone", "312 555 0106")]),
         ("", []),
         (None, []),
     ],
@@ -57,6 +62,8 @@ def test_spans(text, want):
         ("with Following Corn Mouda by Unlisted Corn Mouda", ["Corn Mouda", "Unlisted Corn Mouda"]),
         ("nach einem Vortrag von Corn Unlisted und", ["Corn Unlisted"]),
         ("with Unlisted, Corn in", ["Unlisted, Corn"]),
+        ("as Corn Unlisted once put it", ["Corn Unlisted"]),
+        ("the yield in Corn Belt, where the belt of corn", []),
         ("Corn Unlisted. Following Mouda and Groto, the Mouda--Groto inequality by Mouda's lemma", []),
         ("of Corn Institute, by The Mouda School, with Corn Unlisted Theorem, with Mouda, Theorem", []),
     ],
@@ -80,3 +87,28 @@ def test_redaction_changes_nothing_else(spark):
     assert (2, None) in texts and (3, "") in texts and (None, "x") in texts
     assert {(r.doc_id, r.kind) for r in pii.items(got).collect()} == {(1, "name"), (1, "phone"), (1, "email")}
     assert pii.redacted(df.where("false"), spark.createDataFrame([], "name_part string, part_role string")).count() == 0
+
+
+def test_long_texts_are_spread_over_tasks_in_paragraphs(spark):
+    text = "".join(f"We thank Corn Mouda.\r\n{'word ' * (i % 9)}\n \n" for i in range(400)) + "a@b.example"
+    df = spark.createDataFrame([(1, text), (1, text), (2, "ask Corn Mouda"), (None, text), (3, None)], "doc_id long, text string")
+    want = {r.doc_id or 0: (r.text, r["items"]) for r in pii.redacted(df, spark.createDataFrame(PARTS, "name_part string, part_role string")).collect()}
+    got = pii.redacted(df, spark.createDataFrame(PARTS, "name_part string, part_role string"), spread_over=500).collect()
+    assert len(got) == 5
+    for r in got:
+        assert (r.text, r["items"]) == want[r.doc_id or 0]
+    assert "".join(pii.paragraphs(text, 125)) == text and len(pii.paragraphs(text, 125)) > 30
+
+
+def test_names_in_scripts_without_spaces():
+    names = pii.Names([("李", "family"), ("欧阳", "family"), ("明", "given")])
+    assert [t for t in ["李明", "欧阳明"] if [s.kind for s in pii.found(f"我们感谢{t}老师", names)] == ["name"]] == ["李明", "欧阳明"]
+
+
+def test_overlaps_in_very_many_spans():
+    import time
+
+    text = "ask Corn Mouda, a@b.example, +14155550127\n" * 20_000
+    began = time.time()
+    assert len(pii.found(text, NAMES)) == 60_000
+    assert time.time() - began < 30
