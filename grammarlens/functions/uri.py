@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grammarlens.session import staged
-
 #: What str.strip() takes for white space, as a class of Java's regular expressions.
 SPACE = r"[\s\u001c-\u001f\u0085   -     　]"
 CONTROL = r"[\u0000-\u001f\u007f-\u009f]"
@@ -45,30 +43,32 @@ def suffix_rules(lines: DataFrame, line: str = "value") -> DataFrame:
     return kept.select(suffix.alias("suffix"), F.size(F.split(suffix, r"\.")).alias("labels"), F.col("rule").startswith("!").alias("is_exception")).distinct()
 
 
-def registrable_domains(hosts: DataFrame, rules: DataFrame, column: str = "host") -> DataFrame:
-    """Each distinct host with its registrable domain: the public suffix and one label more.
+def with_domain(rows: DataFrame, rules: DataFrame, column: str = "host", domain: str = "domain") -> DataFrame:
+    """rows with the registrable domain of their host: the public suffix and one label more.
 
     An exception rule wins with one label less, else the longest rule, else the last label
-    alone is the suffix. Null for hosts that are suffixes, hold ":" or "/" or an empty
-    label. A host has few suffixes, so rules are met by equality; Spark broadcasts them
-    if they are small enough by their own size.
+    alone is the suffix. Null for null hosts, for hosts that are suffixes, hold ":" or "/" or
+    an empty label. Rules are met by equality with the last labels, of which no rule has more
+    than a few; nothing but the rules is moved if Spark finds them small enough to broadcast.
     """
-    labels = F.split(F.lower(F.regexp_replace(stripped(F.col("host")), r"\.+$", "")), r"\.")
-    distinct = staged(hosts.select(F.col(column).alias("host")).distinct().where("host is not null"), "hosts")
-    parts = distinct.withColumn("_labels", labels)
-    sound = "not exists(_labels, l -> l = '' or contains(l, ':') or contains(l, '/'))"
-    tails = F.expr(
-        "flatten(transform(sequence(1, size(_labels)), n -> array("
-        " array_join(slice(_labels, size(_labels) - n + 1, n), '.'),"
-        " concat('*', case when n > 1 then concat('.', array_join(slice(_labels, size(_labels) - n + 2, n - 1), '.')) else '' end))))"
-    )
-    met = (
-        parts.where(sound)
-        .select("host", "_labels", F.explode(tails).alias("suffix"))
-        .join(rules, "suffix")
-        .groupBy("host")
-        .agg(F.max(F.expr("case when is_exception then labels - 1 end")).alias("_exception"), F.max(F.expr("case when not is_exception then labels end")).alias("_longest"))
-    )
-    wide = F.coalesce("_exception", "_longest", F.lit(1))
-    domain = F.when(F.expr(sound) & (F.size("_labels") > wide), F.expr("array_join(slice(_labels, -(coalesce(_exception, _longest, 1) + 1), coalesce(_exception, _longest, 1) + 1), '.')"))
-    return parts.join(met, "host", "left").select("host", domain.alias("domain"))
+    is_wild = F.col("suffix").startswith("*.")
+    flags = F.bool_or(~F.col("is_exception") & ~is_wild).alias("plain"), F.bool_or("is_exception").alias("exception"), F.bool_or(is_wild).alias("wild")
+    by_tail = rules.groupBy(F.when(is_wild, F.expr("substring(suffix, 3)")).otherwise(F.col("suffix")).alias("tail")).agg(*flags)
+    most = by_tail.agg(F.max(F.size(F.split("tail", r"\."))).alias("n")).first().n or 0
+    labels = F.split(F.lower(F.regexp_replace(stripped(F.col(f"`{column}`")), r"\.+$", "")), r"\.")
+    out = rows.withColumn("_labels", labels)
+    wide, narrow = [F.lit(1)], []
+    for n in range(1, most + 1):
+        met = by_tail.select(F.col("tail").alias(f"_tail{n}"), F.struct("plain", "exception", "wild").alias(f"_rule{n}"))
+        out = out.withColumn(f"_tail{n}", F.expr(f"case when size(_labels) >= {n} then array_join(slice(_labels, -{n}, {n}), '.') end")).join(met, f"_tail{n}", "left")
+        wide += [F.when(F.col(f"_rule{n}.plain"), n), F.when(F.col(f"_rule{n}.wild") & (F.size("_labels") > n), n + 1)]
+        narrow.append(F.when(F.col(f"_rule{n}.exception"), n - 1))
+    sound = F.expr("not exists(_labels, l -> l = '' or contains(l, ':') or contains(l, '/'))")
+    size = F.coalesce(*narrow, F.greatest(*wide) if len(wide) > 1 else wide[0])
+    found = out.withColumn("_wide", size).withColumn(domain, F.when(sound & (F.size("_labels") > F.col("_wide")), F.expr("array_join(slice(_labels, -(_wide + 1), _wide + 1), '.')")))
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns if c != domain), domain)
+
+
+def registrable_domains(hosts: DataFrame, rules: DataFrame, column: str = "host") -> DataFrame:
+    """Each distinct host with its registrable domain."""
+    return with_domain(hosts.select(F.col(column).alias("host")).where("host is not null").distinct(), rules)

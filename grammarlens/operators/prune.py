@@ -13,26 +13,36 @@ from pyspark.sql import functions as F
 
 from grammarlens.session import staged
 
-MOST_ROUNDS = 20
+#: A graph with up to so many edges is walked in one place; grammars have some hundred.
+MOST_EDGES = 1 << 17
 
 
 def reachable(start: DataFrame, edges: DataFrame, parent: str = "parent_id", child: str = "child_id") -> DataFrame:
     """node_id of start and all that can be reached from it along edges; edges may form cycles.
 
-    Ways are doubled in each round, so a graph as deep as 2^n takes n rounds. For graphs of
-    the size of a grammar: there are up to as many ways as pairs of nodes. Each round is
-    written, or its plan would hold all the rounds before it.
+    A graph of more than MOST_EDGES edges is walked by joins, one round for each step away
+    from start, each of which looks at what the round before it found.
     """
-    ways = staged(edges.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).distinct().coalesce(1), "ways")
-    size = ways.count()
-    for _ in range(MOST_ROUNDS):
-        onward = ways.select(F.col("_from").alias("_to"), F.col("_to").alias("_end"))
-        ways = staged(ways.unionByName(ways.join(onward, "_to").select("_from", F.col("_end").alias("_to"))).distinct().coalesce(1), "ways")
-        size, before = ways.count(), size
-        if size == before:
-            there = start.join(ways.withColumnRenamed("_from", "node_id"), "node_id").select(F.col("_to").alias("node_id"))
-            return start.select("node_id").unionByName(there).distinct()
-    raise ValueError("the graph is too deep")
+    links = edges.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).distinct()
+    some = links.limit(MOST_EDGES + 1).collect()
+    found = staged(start.select("node_id").distinct(), "found")
+    if len(some) <= MOST_EDGES and found.limit(MOST_EDGES + 1).count() <= MOST_EDGES:
+        below: dict[str, list[str]] = {}
+        for e in some:
+            below.setdefault(e["_from"], []).append(e["_to"])
+        todo = [r.node_id for r in found.collect()]
+        seen = set(todo)
+        while todo:
+            new = [n for n in below.get(todo.pop(), ()) if n not in seen]
+            seen.update(new)
+            todo += new
+        return start.sparkSession.createDataFrame([(n,) for n in seen], "node_id string")
+    links, last = staged(links, "links"), found
+    while True:
+        new = staged(last.withColumnRenamed("node_id", "_from").join(links, "_from").select(F.col("_to").alias("node_id")).distinct().join(found, "node_id", "left_anti"), "found")
+        if new.isEmpty():
+            return found
+        found, last = found.unionByName(new), new
 
 
 def protection(used: DataFrame, edges: DataFrame, protected: DataFrame, threshold: float) -> DataFrame:
@@ -58,11 +68,24 @@ def protection(used: DataFrame, edges: DataFrame, protected: DataFrame, threshol
 
 def pruned(used: DataFrame, edges: DataFrame, protected: DataFrame, threshold: float = 0.001) -> DataFrame:
     """The nodes under the threshold that nothing protects."""
-    used = staged(used.coalesce(1), "used")
-    edges = staged(edges.coalesce(1), "edges")
+    used, edges = staged(used, "used"), staged(edges, "edges")
     return used.where(F.col("usage") < threshold).join(protection(used, edges, protected, threshold), "node_id", "left_anti")
 
 
+def generated(grammar: str, nodes: list[dict], edges: list[dict], dropped: set[str], threshold: float) -> str:
+    """A file with the grammar without the dropped nodes: a header, and around ASN.1 a module.
+
+    Which notation it is follows from the kinds of nodes. Dropped nodes of another grammar are an error.
+    """
+    if other := sorted({d.partition(":")[0] for d in dropped} - {grammar}):
+        raise ValueError(f"nodes of {other[0]} can't be taken out of {grammar}")
+    asn1 = any(n["kind"] in ("tag", "string-type", "named-type") for n in nodes)
+    note = "--" if asn1 else ";"
+    head = f"{note} Reduced grammar of {grammar} (generated).\n{note} {len(dropped)} nodes pruned below usage threshold {threshold}.\n\n"
+    body = written(nodes, edges, dropped, asn1)
+    return head + (f"{grammar.replace('-', '_')} DEFINITIONS ::= BEGIN\n\n{body}\nEND\n" if asn1 else body)
+
+
 def written(nodes: list[dict], edges: list[dict], dropped: set[str], asn1: bool = False) -> str:
     """The grammar without the dropped nodes, as ABNF or as assignments in ASN.1.
 

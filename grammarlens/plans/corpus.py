@@ -37,7 +37,7 @@ NORMALIZED = _HOSTED
 
 def uris(spark: SparkSession, sf: str) -> DataFrame:
     """Records with normalised URI and the host that it names, null if blank."""
-    return table(spark, sf, "uri_records").select("rec_id", "stratum", "src_file", "ord", U.normalized(F.col("raw_uri")).alias("uri")).withColumn("own_host", U.host(F.col("uri")))
+    return table(spark, sf, "uri_records").select("rec_id", "stratum", "src_file", "ord", "host", U.normalized(F.col("raw_uri")).alias("uri")).withColumn("own_host", U.host(F.col("uri")))
 
 
 def _rules(spark: SparkSession) -> DataFrame:
@@ -46,8 +46,7 @@ def _rules(spark: SparkSession) -> DataFrame:
 
 def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
     rows = uris(spark, sf).where("uri is not null and not startswith(uri, '#')")
-    domains = U.registrable_domains(rows, _rules(spark), "own_host").withColumnRenamed("host", "own_host")
-    return rows.join(domains, "own_host", "left")
+    return U.with_domain(rows.drop("host"), _rules(spark), "own_host")
 
 
 def normalized_uris(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,9 +55,7 @@ def normalized_uris(spark: SparkSession, sf: str) -> DataFrame:
 
 def lost_hosts(spark: SparkSession, sf: str) -> DataFrame:
     """Records whose host column isn't what the URI names."""
-    found = uris(spark, sf).select("rec_id", "own_host")
-    kept = table(spark, sf, "uri_records").select("rec_id", "host")
-    return found.join(kept, "rec_id").where("own_host is not null and (host is null or host <> own_host)")
+    return uris(spark, sf).select("rec_id", "own_host", "host").where("own_host is not null and (host is null or host <> own_host)")
 
 
 def registrable_domains(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,8 +111,8 @@ def sample_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def warc_targets(spark: SparkSession, sf: str) -> DataFrame:
-    """The links of each outlink file as the headers of a web archive, read back and counted."""
-    rows = table(spark, sf, "uri_records").where("stratum = 'cc-outlinks' and raw_uri is not null")
+    """The records of each file as the headers of a web archive, read back and counted."""
+    rows = table(spark, sf, "uri_records").where("raw_uri is not null")
     headers = rows.select("src_file", F.concat(F.lit("WARC/1.0\nwarc-target-uri: "), F.col("raw_uri"), F.lit("\n")).alias("header"))
     return headers.select("src_file", F.explode(lists.of_warc(F.col("header"))).alias("uri")).groupBy("src_file").agg(F.count("*").alias("links"))
 
@@ -204,7 +201,7 @@ ORACLES = {
  select c.stratum, uri, {_HASH} as rank_by, quota, row_number() over (partition by c.stratum order by {_HASH}, uri desc) as rk from {_CAPPED} c join {_QUOTAS} q using (stratum)) where rk <= quota) where again = 1""",
     "round_robin_shards": f"select uri, row_number() over (order by src_file, ord) - 1 as number, cast((row_number() over (order by src_file, ord) - 1) % {SHARDS} as int) as shard from (select uri, src_file, ord from {_HOSTED} where uri is not null qualify row_number() over (partition by uri order by src_file, ord) = 1)",
     "sample_lists": f"select list_name, count(*) as lines, count(*) filter (where regexp_matches(uri, '^{_SPACE}*[^{_SPACE[1:-1]}#]')) as uris from uri_sample group by 1",
-    "warc_targets": r"select src_file, count(*) as links from (select src_file, unnest(regexp_extract_all('WARC/1.0' || chr(10) || 'warc-target-uri: ' || raw_uri || chr(10), '(?im)^WARC-Target-URI:\s*(\S+)\s*$', 1)) as uri from uri_records where stratum = 'cc-outlinks' and raw_uri is not null) group by 1",
+    "warc_targets": r"select src_file, count(*) as links from (select src_file, unnest(regexp_extract_all('WARC/1.0' || chr(10) || 'warc-target-uri: ' || raw_uri || chr(10), '(?im)^WARC-Target-URI:\s*(\S+)\s*$', 1)) as uri from uri_records where raw_uri is not null) group by 1",
     "dump_dates": r"select dump_file, nullif(regexp_extract(dump_file, '-(\d{8})-', 1), '') as dump_date, count(*) as rows from externallinks_raw group by 1, 2",
     "component_usage": _component_sql(),
 }

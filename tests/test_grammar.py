@@ -3,7 +3,7 @@ import re
 import pytest
 
 from grammarlens.operators import hits, prune
-from grammarlens.sources import abnf
+from grammarlens.sources import abnf, asn1
 
 G = "rfc3986-uri"
 
@@ -82,3 +82,25 @@ def test_an_empty_corpus_prunes_all_but_the_protected(spark):
 def test_walks_end_in_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("x", "y")], "parent_id string, child_id string")
     assert {r.node_id for r in prune.reachable(spark.createDataFrame([("a",)], "node_id string"), edges).collect()} == {"a", "b", "c"}
+
+
+def test_walks_by_joins_where_a_graph_is_large(spark, monkeypatch):
+    monkeypatch.setattr(prune, "MOST_EDGES", 2)
+    test_walks_end_in_cycles(spark)
+
+
+def test_generated_files_can_be_read_again(spark):
+    u, edges, _ = used(spark, {"top": 900, "often": 900})
+    gone = {r.node_id for r in prune.pruned(u, edges, spark.createDataFrame([], "node_id string")).collect()}
+    everything = [r.asDict() for r in u.collect()], [r.asDict() for r in edges.collect()]
+    text = prune.generated("g", *everything, gone, 0.001)
+    assert text.startswith("; Reduced grammar of g") and list(abnf.rules(text)) == ["top", "often"]
+    with pytest.raises(ValueError):
+        prune.generated("g", *everything, {"h:x#00000000"}, 0.001)
+
+
+def test_a_reduced_module_can_be_read_again(spark):
+    nodes, edges = abnf.graph(spark, "rfc5280-x509", asn1.rules(asn1.vendored()))
+    rows = [r.asDict() for r in nodes.collect()], [r.asDict() for r in edges.collect()]
+    text = prune.generated("rfc5280-x509", *rows, set(), 0.001)
+    assert "rfc5280_x509 DEFINITIONS ::= BEGIN" in text and list(asn1.rules(text)) == list(asn1.rules(asn1.vendored()))
