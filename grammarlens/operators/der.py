@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grammarlens.functions.rowwise import with_made
+from grammarlens.operators.evidence import BOUNDS, MALFORMED, UNSUPPORTED, VERDICT, verdict_columns
 from grammarlens.sources import abnf, asn1
 
 #: Names of universal tags, fixed by ASN.1.
 TAGS = {1: "BOOLEAN", 2: "INTEGER", 3: "BIT STRING", 4: "OCTET STRING", 5: "NULL", 6: "OBJECT IDENTIFIER", 12: "UTF8String", 16: "SEQUENCE", 17: "SET", 19: "PrintableString", 22: "IA5String", 23: "UTCTime", 24: "GeneralizedTime"}
-DEEPEST = 1024
-#: Longer certificates count as not matching.
-MOST_BYTES = 65536
+#: Bounds of verdicts; counting has none.
+MOST_BYTES, DEEPEST = 65536, 1024
 
 
 class Element(NamedTuple):
@@ -60,21 +62,21 @@ def places(der: bytes | None) -> list[str] | None:
     """
     if not der:
         return None
-    out, stack = [], [(0, len(der), "", 0)]
+    out, stack = [], [(0, len(der), "")]
     while stack:
-        at, end, above, depth = stack.pop()
+        at, end, above = stack.pop()
         if at == end:
             continue
         got = element(der, at, end)
-        if not got or depth > DEEPEST or (not above and got.stop != end):
+        if not got or (not above and got.stop != end):
             return None
         kind, number, holds, start, stop = got
         name = TAGS.get(number, f"UNIVERSAL {number}") if kind == 0 else f"[{('', 'APPLICATION ', '', 'PRIVATE ')[kind]}{number}]"
         place = f"{above}/{name}" if above else name
         out.append(place)
-        stack.append((stop, end, above, depth))
+        stack.append((stop, end, above))
         if holds:
-            stack.append((start, stop, place, depth + 1))
+            stack.append((start, stop, place))
     return out
 
 
@@ -88,58 +90,84 @@ class Typed:
 
     def __init__(self, grammar: str, rules: dict[str, abnf.Node]) -> None:
         self.rules, self.grammar, self.root = rules, grammar, next(iter(rules))
+        self.id = functools.cache(lambda rule, path: abnf.node_id(grammar, rule, path))
+        self.deepest: int | None = None
 
-    def visited(self, der: bytes | None) -> list[str] | None:
-        """Ids of the nodes that the value uses; None if it isn't one value of the first type."""
-        got = self._rule(self.root, der, 0, len(der)) if der and len(der) <= MOST_BYTES else None
-        return sorted(got[1]) if got and got[0] == len(der) else None
-
-    def _rule(self, rule: str, der: bytes, at: int, end: int) -> tuple[int, set[str]] | None:
-        got = self._fit(self.rules[rule], rule, f"{rule}>body", der, at, end)
-        return got and (got[0], got[1] | {abnf.node_id(self.grammar, rule, rule)})
+    def order(self, der: bytes | None) -> list[str] | None:
+        """Ids of the nodes that the value uses, each after those below it; None if it isn't one value of the first type."""
+        got = self._rule(self.root, der, 0, len(der)) if der else None
+        return got[1] if got and got[0] == len(der) else None
 
-    def _fit(self, node: abnf.Node, rule: str, path: str, der: bytes, at: int, end: int) -> tuple[int, set[str]] | None:
+    def visited(self, der: bytes | None) -> list[str] | None:
+        """The same nodes once each, sorted."""
+        found = self.order(der)
+        return found if found is None else sorted(set(found))
+
+    def verdict(self, der: bytes | None, pruned: set[str], most_bytes: int, deepest: int) -> tuple[str | None, str | None, str | None]:
+        """What is wrong with a value, the bound it breaks and the pruned node it needs: of several the first in order."""
+        if der is not None and len(der) > most_bytes:
+            return BOUNDS, "input_bytes", None
+        try:
+            self.deepest = deepest
+            found = self.order(der)
+        except RecursionError:
+            return BOUNDS, "depth", None
+        finally:
+            self.deepest = None
+        if found is None:
+            return MALFORMED, None, None
+        node = next((n for n in found if n in pruned), None)
+        return (UNSUPPORTED, None, node) if node else (None, None, None)
+
+    def _rule(self, rule: str, der: bytes, at: int, end: int, depth: int = 0) -> tuple[int, list[str]] | None:
+        got = self._fit(self.rules[rule], rule, f"{rule}>body", der, at, end, depth + 1)
+        return got and (got[0], [*got[1], self.id(rule, rule)])
+
+    def _fit(self, node: abnf.Node, rule: str, path: str, der: bytes, at: int, end: int, depth: int) -> tuple[int, list[str]] | None:
         """Where the value that fits the node ends, and the nodes it uses."""
-        child = lambda i, a, e: self._fit(node.children[i], rule, self._below(path, node, i), der, a, e)
-        own = {abnf.node_id(self.grammar, rule, path)}
+        if self.deepest is not None and depth > self.deepest:
+            raise RecursionError
+        child = lambda i, a, e: self._fit(node.children[i], rule, self._below(path, node, i), der, a, e, depth + 1)
+        own = self.id(rule, path)
         if node.kind in ("named-type", "optional", "reference"):
-            got = self._rule(node.name, der, at, end) if node.kind == "reference" else child(0, at, end)
-            return got and (got[0], got[1] | own)
+            got = self._rule(node.name, der, at, end, depth) if node.kind == "reference" else child(0, at, end)
+            return got and (got[0], [*got[1], own])
         value = element(der, at, end)
         if value is None:
             return None
+        used: list[str] = []
         if node.kind in ("sequence", "repetition"):
             if value[:3] != (0, 17 if node.name.startswith("SET") else 16, True):
                 return None
-            own |= (self._components if node.kind == "sequence" else self._repeats)(node, child, der, value)
+            used = (self._components if node.kind == "sequence" else self._repeats)(node, child, der, value)
         elif node.kind == "alternation":
-            own |= next((got[1] for i in range(len(node.children)) if (got := child(i, at, end))), set())
+            used = next((got[1] for i in range(len(node.children)) if (got := child(i, at, end))), [])
         elif node.kind == "tag":
             if (value.kind, str(value.number)) != (2, node.name[1:].partition("]")[0].strip()):
                 return None
             if "IMPLICIT" in node.name or "EXPLICIT" not in node.name and not value.holds:
-                own.add(abnf.node_id(self.grammar, rule, self._below(path, node, 0)))
+                used = [self.id(rule, self._below(path, node, 0))]
             elif got := child(0, value.start, value.stop):
-                own |= got[1]
+                used = got[1]
             else:
                 return None
         elif (tag := (asn1.STRINGS if node.kind == "string-type" else asn1.LEAVES).get(node.name)) is not None and (value.kind, value.number) != (0, tag):
             return None
-        return value.stop, own
+        return value.stop, [*used, own]
 
     @staticmethod
     def _below(path: str, node: abnf.Node, i: int) -> str:
         return f"{path}>{node.children[i].kind}:{node.children[i].tag}:{i}"
 
     @staticmethod
-    def _components(node: abnf.Node, child: Callable, der: bytes, value: Element) -> set[str]:
-        used, at = set(), value.start
+    def _components(node: abnf.Node, child: Callable, der: bytes, value: Element) -> list[str]:
+        used, at = [], value.start
         for i, component in enumerate(node.children):
             if at >= value.stop:
                 break
             if got := child(i, at, value.stop):
-                at, more = got
-                used |= more
+                at = got[0]
+                used += got[1]
             elif component.children[0].kind != "optional":
                 passed = element(der, at, value.stop)
                 if passed is None:
@@ -148,11 +176,11 @@ class Typed:
         return used
 
     @staticmethod
-    def _repeats(node: abnf.Node, child: Callable, der: bytes, value: Element) -> set[str]:
-        used, at = set(), value.start
+    def _repeats(node: abnf.Node, child: Callable, der: bytes, value: Element) -> list[str]:
+        used, at = [], value.start
         while at < value.stop and (inner := element(der, at, value.stop)):
             if got := child(0, at, value.stop):
-                used |= got[1]
+                used += got[1]
             at = inner.stop
         return used
 
@@ -163,16 +191,36 @@ def walked(certificates: DataFrame, der: str = "der", typed: tuple[str, str] | N
     typed is the name and text of a module in ASN.1: then the nodes of the module are
     visited, else the places of the value's own structure.
     """
-    kept = certificates.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare():
         walk = Typed(typed[0], asn1.rules(typed[1])).visited if typed else places
-        for batch in batches:
-            found = [walk(x) for x in batch.column(kept.index(der)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x is not None for x in found], pa.bool_()), pa.array([x or [] for x in found], pa.list_(pa.string()))], names=[*kept, "is_matched", "visited"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in certificates.schema)
-    return certificates.mapInArrow(run, f"{fields}, is_matched boolean, visited array<string>")
+        def of(values: list) -> list[pa.Array]:
+            found = [walk(x) for x in values]
+            return [pa.array([x is not None for x in found], pa.bool_()), pa.array([x or [] for x in found], pa.list_(pa.string()))]
+
+        return of
+
+    return with_made(certificates, der, "is_matched boolean, visited array<string>", prepare)
+
+
+def verdicts(certificates: DataFrame, grammar: str, source: str, pruned: DataFrame, der: str = "der", most_bytes: int = MOST_BYTES, deepest: int = DEEPEST) -> DataFrame:
+    """certificates with accepted, error, bound and node_id: whether they are accepted by the module without pruned nodes.
+
+    A value over most_bytes fails for that, one nested deeper than deepest nodes for its
+    depth, one that isn't of the first type as malformed, as null does, and else for the first
+    pruned node in order. Nodes of other grammars are ignored; extra columns come back.
+    """
+    rules = asn1.rules(source)
+    known = [n for n, _, _ in abnf.listed(grammar, rules)]
+    # At most the nodes of this grammar.
+    gone = {r.node_id for r in pruned.where(F.col("node_id").isin(known)).select("node_id").distinct().collect()}
+
+    def prepare():
+        typed = Typed(grammar, rules)
+        return lambda values: verdict_columns([typed.verdict(x, gone, most_bytes, deepest) for x in values])
+
+    return with_made(certificates, der, VERDICT, prepare)
 
 
 def fingerprinted(certificates: DataFrame, der: str = "der") -> DataFrame:

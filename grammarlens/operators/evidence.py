@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grammarlens.session import staged
 
 MALFORMED, UNSUPPORTED, BOUNDS = "MALFORMED", "UNSUPPORTED_NODE", "BOUNDS_EXCEEDED"
+VERDICT = "accepted boolean, error string, bound string, node_id string"
+
+
+def verdict_columns(found: list[tuple[str | None, str | None, str | None]]) -> list[pa.Array]:
+    """The columns of VERDICT from triples of error, bound and node."""
+    return [pa.array([f[0] is None for f in found], pa.bool_()), *(pa.array([f[i] for f in found], pa.string()) for i in range(3))]
 
 
 def verdicts(samples: DataFrame, pruned: DataFrame, most_nodes: int = 16384) -> DataFrame:

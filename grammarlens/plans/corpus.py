@@ -9,6 +9,7 @@ from grammarlens.functions import ident
 from grammarlens.functions import uri as U
 from grammarlens.operators import dedup, sampling
 from grammarlens.plans.tables import table
+from grammarlens.session import staged
 from grammarlens.sources import abnf, lists
 
 #: Suffix rules for the made-up hosts of the test tables: plain, wildcard and exception.
@@ -16,7 +17,8 @@ SUFFIXES = ("com", "net", "org", "test", "invalid", "example", "example.com", "*
 CAP, SHARDS, RATE, SEED, TARGET = 20, 8, 0.3, 17, 1000
 
 _SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_NORMAL = rf"nullif(regexp_replace(regexp_replace(raw_uri, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '[\x00-\x1f\x7f\x{{80}}-\x{{9f}}]', '', 'g'), '')"
+STRIPPED = rf"regexp_replace(raw_uri, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+_NORMAL = rf"nullif(regexp_replace({STRIPPED}, '[\x00-\x1f\x7f\x{{80}}-\x{{9f}}]', '', 'g'), '')"
 _HOST = r"case when after is not null and not starts_with(authority, '[') then nullif(split_part(authority, ':', 1), '') end"
 _HOSTED = rf"""(select *, {_HOST} as own_host from (select *, regexp_extract(regexp_extract(after, '^[^/?#]*'), '[^@]*$') as authority
  from (select *, case when instr(uri, '://') > 0 then substr(uri, instr(uri, '://') + 3) end as after
@@ -99,6 +101,25 @@ def stratified_sample_blake2b(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.stratified(capped_domains(spark, sf).select("stratum", "uri"), stratum_quotas(spark, sf), SEED, TARGET)
 
 
+def sample_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """For each run a sample by the weights of its strata, of capped URIs: target and kept of each stratum, and what was written in all."""
+    pool = staged(capped_domains(spark, sf).select("stratum", "uri"), "pool")
+    runs = table(spark, sf, "sample_runs").select("run_id", F.coalesce("target_n", F.lit(0)).alias("_target"))
+    wanted = sampling.quotas(table(spark, sf, "strata").drop("target", "kept").join(runs, "run_id"), "weight", F.col("_target"), "stratum_idx", ["run_id"])
+    strata = staged(wanted.select("run_id", "stratum_idx", "stratum", "weight", "seed", F.col("quota").alias("target"), "quota"), "strata")
+    kept = staged(sampling.of_runs(pool, strata, ident.rank_number).groupBy("run_id", "stratum_idx").agg(F.count("*").alias("kept")), "kept")
+    written = kept.groupBy("run_id").agg(F.sum("kept").alias("total_written"))
+    out = strata.join(kept, ["run_id", "stratum_idx"], "left").join(written, "run_id", "left")
+    return out.select("run_id", "stratum_idx", "stratum", "weight", "target", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("total_written", F.lit(0)).alias("total_written"))
+
+
+def stratum_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the records of each stratum come from: crawls and dump dates, and how many were read."""
+    rows = table(spark, sf, "uri_records").groupBy("stratum", "connector", "crawl_id", lists.dump_date(F.col("src_file")).alias("dump_date")).agg(F.count("*").alias("n"))
+    unset = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+    return rows.groupBy("stratum", "connector").agg(unset("crawl_id").alias("crawl_ids"), unset("dump_date").alias("dump_dates"), F.sum("n").alias("urls_read"))
+
+
 def round_robin_shards(spark: SparkSession, sf: str) -> DataFrame:
     """All distinct URIs in order of arrival, dealt out to shards."""
     return sampling.sharded(sampling.numbered(distinct_first_seen(spark, sf), ["src_file", "ord"]), SHARDS).select("uri", "number", "shard")
@@ -179,7 +200,7 @@ def _component_sql() -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (normalized_uris, lost_hosts, registrable_domains, distinct_first_seen, capped_domains, value_sample, value_sample_blake2b, stratum_quotas, stratified_sample, stratified_sample_blake2b, round_robin_shards, sample_lists, warc_targets, dump_dates, component_usage)
+    for f in (normalized_uris, lost_hosts, registrable_domains, distinct_first_seen, capped_domains, value_sample, value_sample_blake2b, stratum_quotas, stratified_sample, stratified_sample_blake2b, sample_manifest, stratum_provenance, round_robin_shards, sample_lists, warc_targets, dump_dates, component_usage)
 }
 _CAPPED = f"""(select stratum, domain, uri, src_file, ord from (
  select *, row_number() over (partition by stratum, domain order by src_file, ord) as rk from (
@@ -199,6 +220,13 @@ ORACLES = {
     "stratum_quotas": f"select * from {_QUOTAS}",
     "stratified_sample": f"""select uri, stratum, rank_by from (select *, row_number() over (partition by uri order by stratum) as again from (
  select c.stratum, uri, {_HASH} as rank_by, quota, row_number() over (partition by c.stratum order by {_HASH}, uri desc) as rk from {_CAPPED} c join {_QUOTAS} q using (stratum)) where rk <= quota) where again = 1""",
+    "stratum_provenance": r"""select stratum, connector, coalesce(string_agg(distinct crawl_id, ',' order by crawl_id), '') as crawl_ids,
+ coalesce(string_agg(distinct d, ',' order by d), '') as dump_dates, count(*) as urls_read from (select *, nullif(regexp_extract(src_file, '-(\d{8})-', 1), '') as d from uri_records) group by 1, 2""",
+    "sample_manifest": f"""with q as (select run_id, stratum_idx, stratum, weight, seed, fl + case when row_number() over (partition by run_id order by round(ex - fl, 9) desc, stratum_idx) <= (case when sum(ex) over (partition by run_id) > 0 then target_n - sum(fl) over (partition by run_id) else 0 end) then 1 else 0 end as target
+ from (select *, cast(floor(ex + 1e-9) as bigint) as fl from (select s.run_id, s.stratum_idx, s.stratum, s.weight, s.seed, r.target_n, case when sum(s.weight) over (partition by s.run_id) > 0 then r.target_n * coalesce(s.weight, 0) / sum(s.weight) over (partition by s.run_id) else 0 end as ex from strata s join sample_runs r using (run_id)))),
+ best as (select * from (select q.run_id, q.stratum_idx, c.uri, q.target, row_number() over (partition by q.run_id, q.stratum_idx order by cast('0x' || substr(sha256((q.seed + q.stratum_idx)::varchar || ':' || c.uri), 1, 15) as bigint), c.uri desc) as rk from {_CAPPED} c join q using (stratum) where q.target > 0) where rk <= target),
+ kept as (select run_id, stratum_idx, count(*) as kept from (select run_id, uri, min(stratum_idx) as stratum_idx from best group by 1, 2) group by 1, 2)
+ select run_id, stratum_idx, stratum, weight, target, coalesce(kept, 0) as kept, coalesce(sum(kept) over (partition by run_id), 0)::bigint as total_written from q left join kept using (run_id, stratum_idx)""",
     "round_robin_shards": f"select uri, row_number() over (order by src_file, ord) - 1 as number, cast((row_number() over (order by src_file, ord) - 1) % {SHARDS} as int) as shard from (select uri, src_file, ord from {_HOSTED} where uri is not null qualify row_number() over (partition by uri order by src_file, ord) = 1)",
     "sample_lists": f"select list_name, count(*) as lines, count(*) filter (where regexp_matches(uri, '^{_SPACE}*[^{_SPACE[1:-1]}#]')) as uris from uri_sample group by 1",
     "warc_targets": r"select src_file, count(*) as links from (select src_file, unnest(regexp_extract_all('WARC/1.0' || chr(10) || 'warc-target-uri: ' || raw_uri || chr(10), '(?im)^WARC-Target-URI:\s*(\S+)\s*$', 1)) as uri from uri_records where raw_uri is not null) group by 1",

@@ -55,6 +55,21 @@ def test_hits_of_certificates(spark):
     assert hits.hits(walked).count() == 8
 
 
+def test_verdicts_on_values(spark):
+    typed = der.Typed("m", asn1.rules(MODULE))
+    good, long = value(0x30, value(0xA0, value(2, b"\x01")) + value(12, b"x") + value(5, b"")), b"\x30\x82\x01\x00" + b"\0" * 256
+    order = typed.order(good)
+    assert order[-1] == abnf.node_id("m", "Top", "Top") and set(order) == set(typed.visited(good))
+    first = names(order[:1])
+    assert first == {("terminal", "INTEGER")}
+    pruned = spark.createDataFrame([(order[0],), (order[-1],), ("x:y#00000000",)], "node_id string")
+    df = spark.createDataFrame([(1, bytearray(good), 7), (2, None, 7), (3, bytearray(b"no"), 7), (4, bytearray(long), 7)], "row_id long, der binary, x int").withColumnRenamed("x", "a.b")
+    got = {r.row_id: (r.error, r.bound, r.node_id) for r in der.verdicts(df, "m", MODULE, pruned, most_bytes=200).collect()}
+    assert got == {1: ("UNSUPPORTED_NODE", None, order[0]), 2: ("MALFORMED", None, None), 3: ("MALFORMED", None, None), 4: ("BOUNDS_EXCEEDED", "input_bytes", None)}
+    assert {r.row_id: r.error for r in der.verdicts(df, "m", MODULE, pruned.where("false"), deepest=3).collect()}[1] == "BOUNDS_EXCEEDED"
+    assert {r.row_id for r in der.verdicts(df, "m", MODULE, pruned.where("false")).where("accepted").collect()} == {1, 4}
+
+
 def test_writing_types(spark):
     nodes, edges = abnf.graph(spark, "m", asn1.rules(MODULE))
     every = [r.asDict() for r in nodes.collect()], [r.asDict() for r in edges.collect()]

@@ -42,3 +42,45 @@ def test_counts(spark):
     by_half = recognize.counted(df, "uri", "rfc3986-uri", abnf.vendored(), ["half"]).collect()
     assert sum(r.hits for r in by_half if r.node_id == "rfc3986-uri:fragment#ae36814a") == sum("#" in u for u in URIS + URIS[:1])
     assert recognize.counted(df.where("false"), "uri", "rfc3986-uri", abnf.vendored()).count() == 0
+
+
+def test_nodes_in_the_order_in_which_they_are_entered():
+    text = 'top = [ "x" ":" ] 1*( item / "-" )\nitem = "a" / "b"\n'
+    r = recognize.Recognizer("g", text)
+    kinds = {n: (kind, name) for n, kind, name in abnf.listed("g", text)}
+    assert [kinds[n][1] for n in r.order("a-") if kinds[n][0] in ("rule", "terminal")] == ["top", "item", '"a"', '"-"']
+    assert [kinds[n][1] for n in r.order("x:b") if kinds[n][0] == "terminal"] == ['"x"', '":"', '"b"'] and r.order("y") is None
+    for t in ("a-", "x:b", "a" * 50, "x:-a-b"):
+        order = r.order(t)
+        assert r.entered(r.root, t) == len(order) and set(order) == set(r.nodes(r.mask(t)))
+        for wanted in range(1, 1 << len(r.ids), 37):
+            last = next((n for n in reversed(order) if wanted >> r.ids.index(n) & 1), None)
+            bit = r.last_of(wanted, r.root, t)
+            assert (r.ids[bit.bit_length() - 1] if bit else None) == last
+
+
+def test_verdicts_on_texts(spark):
+    g = "rfc3986-uri"
+    rule = {name: n for n, kind, name in abnf.listed(g, abnf.vendored()) if kind == "rule"}
+    pruned = spark.createDataFrame([(rule["userinfo"],), (rule["fragment"],), ("other:x#00000000",)], "node_id string")
+    want = {
+        "http://a/b?c": (True, None, None, None),
+        "http://u@a/": (False, "UNSUPPORTED_NODE", None, rule["userinfo"]),
+        "http://u@a/#f": (False, "UNSUPPORTED_NODE", None, rule["fragment"]),
+        "//a": (False, "MALFORMED", None, None),
+        "http://h/" + "x" * 9000: (False, "BOUNDS_EXCEEDED", "input_bytes", None),
+        "http://h/" + "x" * 8000: (False, "BOUNDS_EXCEEDED", "depth", None),
+        None: (False, "MALFORMED", None, None),
+        "": (False, "MALFORMED", None, None),
+    }
+    df = spark.createDataFrame([(u, 1, "x") for u in want], "uri string, node_id int, x string").withColumnRenamed("x", "a.b")
+    got = recognize.verdicts(df, "uri", g, abnf.vendored(), pruned)
+    assert {r.uri: (r.accepted, r.error, r.bound, r.node_id) for r in got.collect()} == want and got.columns[:2] == ["uri", "a.b"]
+    assert recognize.verdicts(df.where("false"), "uri", g, abnf.vendored(), pruned).count() == 0
+
+
+def test_skipped_texts_are_counted(spark):
+    df = spark.createDataFrame([("http://h/" + "é" * n,) for n in (10, 4000, 5000, 9000)] + [("x:",), (None,)], "uri string")
+    total = recognize.counted(df, "uri", "g", abnf.vendored()).where("node_id is null").collect()[0]
+    assert (total.total_samples, total.hits, total.skipped) == (4, 1, 2)
+    assert recognize.counted(df, "uri", "g", abnf.vendored(), most_bytes=None).where("node_id is null").collect()[0].total_samples == 6
