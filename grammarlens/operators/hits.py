@@ -28,7 +28,10 @@ def totals(samples: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """Hits of shards as hits of the whole: sums, in any order and grouping."""
+    """Hits of shards as hits of the whole: sums for each grammar, in any order and grouping.
+
+    Where only one grammar may come, grammarlens.sources.artifacts.same_grammar guards it.
+    """
     return parts.groupBy("grammar", "node_id").agg(F.sum("hits").alias("hits"))
 
 

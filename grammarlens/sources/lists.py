@@ -34,6 +34,22 @@ def of_wat(payload: Column) -> Column:
     return F.coalesce(F.filter(links.getField("url"), lambda u: u.isNotNull() & (u != "")), F.array().cast("array<string>"))
 
 
+def read_uris(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    """URIs of files by their format: list, index, warc (targets of records) or wat (links in metadata)."""
+    from grammarlens.sources import warc
+
+    match kind:
+        case "list":
+            return read_list(spark, paths)
+        case "index":
+            return read_index(spark, paths)
+        case "warc":
+            return warc.read_warc(spark, paths).where("target_uri is not null").select(F.col("target_uri").alias("uri"))
+        case "wat":
+            return warc.outlinks(warc.read_warc(spark, paths)).select("uri")
+    raise ValueError(f"no format {kind!r}")
+
+
 def read_index(spark: SparkSession, paths: list[str], column: str = "url") -> DataFrame:
     """The URI column of an index in Parquet; nothing else is read."""
     return spark.read.parquet(*paths).select(F.col(column).alias("uri")).where("uri is not null")

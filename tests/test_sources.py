@@ -3,7 +3,7 @@ import io
 import json
 import zipfile
 
-from grammarlens.sources import submissions, warc
+from grammarlens.sources import lists, submissions, warc
 
 
 def record(kind, body, extra=""):
@@ -19,6 +19,9 @@ def test_archives(spark, tmp_path):
     assert {(r.path.rsplit("/", 1)[1], r.kind) for r in got.collect()} == {("a.wat.gz", k) for k in ("warcinfo", "metadata", "response")} | {("b.warc", k) for k in ("warcinfo", "metadata", "response", None)}
     assert got.count() == 9
     assert sorted(r.uri for r in warc.outlinks(got).collect()) == ["/é", "/é", "http://a/", "http://a/"]
+    assert [r.uri for r in lists.read_uris(spark, [str(tmp_path / "b.warc")], "warc").collect()] == ["http://p/"]
+    assert lists.read_uris(spark, [str(tmp_path / "a.wat.gz")], "wat").count() == 2
+    assert warc.read_warc(spark, [str(tmp_path / "none*")]).count() == 0
 
 
 def test_submissions(spark, tmp_path):
