@@ -42,8 +42,8 @@ def with_keys(seeds: DataFrame, seed: str = "seed") -> DataFrame:
 
 def permuted(df: DataFrame, number: str) -> DataFrame:
     """df, which has the round keys, with the permuted number's halves instead of them."""
-    keep = [c for c in df.columns if not c.startswith("_k")]
     keys = [f"_k{i}" for i in range(ROUNDS)]
+    keep = [f"`{c}`" for c in df.columns if c not in keys]
     out = df.selectExpr(*keep, *keys, f"shiftrightunsigned({number}, 32) as {HI}", f"{number} & {MASK} as {LO}")
     for i in range(ROUNDS):
         out = out.selectExpr(*keep, *keys[i + 1 :], f"{LO} as {HI}", f"{HI} ^ ({_round(LO, f'_k{i}', i, '({} ^ {})')}) as {LO}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from grammarlens.functions import uri as U
@@ -31,12 +32,16 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
         .where("uri is not null and not startswith(uri, '#')")
         .withColumn("uri_key", F.expr(feistel.text_key("uri")))
     )
+    # The runs that choose a record are bits of a number until equal records have met, so that they meet once and not once for each run.
     strata = table(spark, sf, "strata").where("sample_rate > 0").select("run_id", "stratum_idx", "stratum", "seed", "sample_rate")
+    placed = staged(strata.withColumn("_at", F.row_number().over(W.partitionBy("stratum").orderBy("run_id", "stratum_idx")) - 1).selectExpr("*", "_at div 60 as _block", "_at % 60 as _bit"), "strata")
     # The keys are made on the side of the runs and strata; Spark knows the size of their table and broadcasts it if it is small.
-    keyed = feistel.with_keys(strata).drop("seed")
+    keyed = feistel.with_keys(placed.select("stratum", "seed", "sample_rate", "_block", "_bit")).drop("seed")
     offered = feistel.permuted(records.join(keyed, "stratum"), "uri_key")
-    chosen = offered.where(feistel.under_rate("sample_rate"))
-    return chosen.select("run_id", "stratum_idx", "stratum", "src_file", "ord", "uri").distinct()
+    bits = F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")
+    chosen = offered.where(feistel.under_rate("sample_rate")).groupBy("stratum", "src_file", "ord", "uri", "_block").agg(bits)
+    runs = placed.select("run_id", "stratum_idx", "stratum", "_block", "_bit")
+    return chosen.join(runs, ["stratum", "_block"]).where("shiftright(_bits, _bit) & 1 = 1").select("run_id", "stratum_idx", "stratum", "src_file", "ord", "uri")
 
 
 _KEYED = f"(select n.*, s.run_id, s.stratum_idx, s.seed, s.sample_rate from {corpus.NORMALIZED} n join strata s using (stratum) where uri is not null and not starts_with(uri, '#') and s.sample_rate > 0)"
