@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from grammarlens.session import staged
 
-#: Row numbers that are broadcast at most (8 bytes each).
-MOST_DROPPED = 1 << 20
-
-
 def hits(samples: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """grammar, node_id, hits of matched samples; a node counts once for each sample.
 
@@ -46,12 +42,11 @@ def once(visits: DataFrame) -> DataFrame:
     """One row for each sample: the first delivery by time and row number.
 
     Deliveries are compared by their keys alone. The rows to drop, which are few where
-    samples are rarely delivered twice, are written and counted: up to MOST_DROPPED they
-    are broadcast, so that the arrays of nodes needn't be shuffled to be rid of them.
+    samples are rarely delivered twice, are written: if they are few, Spark knows it and
+    broadcasts them, so that the arrays of nodes needn't be shuffled to be rid of them.
     """
     keys = visits.select("sample_id", "visit_row", "parsed_at")
     first = F.min(F.struct("parsed_at", "visit_row"))
     again = keys.groupBy("sample_id").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("sample_id", F.col("first.visit_row").alias("_kept"))
     dropped = staged(keys.join(again, "sample_id").where("visit_row <> _kept").select("visit_row"), "dropped")
-    few = dropped.count() <= MOST_DROPPED
-    return visits.join(F.broadcast(dropped) if few else dropped, "visit_row", "left_anti")
+    return visits.join(dropped, "visit_row", "left_anti")

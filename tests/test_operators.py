@@ -2,6 +2,7 @@ import hashlib
 
 import pyspark.sql.functions as F
 
+from grammarlens.functions import ident
 from grammarlens.operators import dedup, der, evidence, hits, sampling
 from grammarlens.sources import lists
 
@@ -108,10 +109,40 @@ def test_index_reads_one_column(spark, tmp_path):
     assert "n:int" not in df._jdf.queryExecution().toString().split("Physical")[1]
 
 
-def test_one_delivery_of_each_sample(spark, monkeypatch):
+def test_one_delivery_of_each_sample(spark):
     rows = [(1, 10, 5), (1, 9, 5), (1, 8, 7), (2, 3, 1), (3, 4, 2), (3, 5, 1)]
     df = spark.createDataFrame(rows, "sample_id long, visit_row long, parsed_at int")
-    for most in (0, 100):
-        monkeypatch.setattr(hits, "MOST_DROPPED", most)
+    for most in ("-1", "10MB"):  # without and with broadcasts
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
         assert {(r.sample_id, r.visit_row) for r in hits.once(df).collect()} == {(1, 9), (2, 3), (3, 5)}
     assert hits.once(df.where("false")).count() == 0
+
+
+def evidence_tables(spark):
+    found = spark.createDataFrame([(7, "g", "g:a#1", 3), (7, "g", "g:b#2", 1), (5, "g", "g:a#1", 2), (5, "g", "g:c#3", 2), (9, "g", "g:d#4", 1)], "submission_id long, grammar string, node_id string, hits long")
+    total = spark.createDataFrame([(7, "g", 10), (5, "g", 4), (9, "g", 0)], "submission_id long, grammar string, total_samples long")
+    pruned = spark.createDataFrame([("g", "g:a#1"), ("g", "g:c#3"), ("g", "g:d#4"), ("h", "g:b#2"), ("g", "g:a#1")], "grammar string, node_id string")
+    return evidence.restorable(pruned, found, total, 0.3, ["submission_id"])
+
+
+def test_evidence_restores_and_adds_rows_to_the_registry(spark):
+    got = evidence_tables(spark)
+    assert {(r.submission_id, r.node_id, r.hits, r.total_samples) for r in got.collect()} == {(7, "g:a#1", 3, 10), (5, "g:a#1", 2, 4), (5, "g:c#3", 2, 4)}
+    submissions = spark.createDataFrame([(5, "ann", "We need it."), (7, "bob", None)], "submission_id long, submitter string, rationale string")
+    existing = spark.createDataFrame([("g:c#3", False)], "node_id string, protected boolean")
+    added = evidence.overrides(got, submissions, existing, 0.3).collect()
+    assert [(r.node_id, r.protected, r.owner) for r in added] == [("g:a#1", True, "rfe:ann")]
+    assert added[0].justification == "Evidence: We need it. Observed in 2 of 4 samples (50.0000%), at or above the threshold of 30.0000%."
+
+
+def test_samples_of_runs_by_weight(spark):
+    pool = spark.createDataFrame([(s, f"u{i}") for s in "abc" for i in range(300)], "stratum string, uri string")
+    strata = [(1, 0, "a", 7, 50), (1, 1, "b", 7, 40), (1, 2, "none", 7, 9), (2, 0, "c", 1, 500), (2, 1, "a", 1, 0), (3, 0, "a", 7, 20)]
+    table = spark.createDataFrame(strata, "run_id long, stratum_idx int, stratum string, seed long, quota long")
+    rank = lambda uri, seed: int(hashlib.sha256(f"{seed}:{uri}".encode()).hexdigest()[:15], 16)
+    want = set()
+    for run, idx, stratum, seed, quota in strata:
+        ranked = sorted((rank(f"u{i}", seed + idx), f"u{i}") for i in range(300)) if stratum in "abc" else []
+        want |= {(run, idx, u) for _, u in ranked[:quota] if (run, 0, u) not in want or idx == 0}
+    got = sampling.of_runs(pool, table, ident.rank_number)
+    assert {(r.run_id, r.stratum_idx, r.uri) for r in got.collect()} == want

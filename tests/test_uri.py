@@ -47,3 +47,12 @@ def test_entries_of_a_log(spark):
     df = spark.createDataFrame([(bytearray(a) if a is not None else None, bytearray(b) if b is not None else None, w) for a, b, w in rows], "a binary, b binary, want binary")
     for r in df.select(ident.certificate_of_entry(F.col("a"), F.col("b")).alias("got"), "want").collect():
         assert r.got == r.want
+
+
+def test_domains_stay_beside_all_other_columns(spark):
+    rules = U.suffix_rules(spark.createDataFrame([("com",), ("*.ck",)], "value string"))
+    df = spark.createDataFrame([("a.b.com", 1, "x"), (None, 2, "y"), ("a.b.com", 3, "z")], "host string, n int, domain string").withColumnRenamed("n", "a.b")
+    got = U.with_domain(df, rules)
+    assert sorted((r["a.b"], r.domain) for r in got.collect()) == [(1, "b.com"), (2, None), (3, "b.com")]
+    assert U.with_domain(df, rules.where("false")).where("domain = 'b.com'").count() == 2
+    assert U.with_domain(df.where("false"), rules).count() == 0
