@@ -161,9 +161,9 @@ def unknown_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return hits.hits(_samples(spark, sf)).join(known, "node_id", "left_anti").select("grammar", "node_id", "hits")
 
 
-def _rare(spark: SparkSession, sf: str) -> DataFrame:
+def _rare(spark: SparkSession, sf: str, samples: DataFrame | None = None) -> DataFrame:
     """Visited nodes of both grammars under the threshold."""
-    samples = _samples(spark, sf)
+    samples = _samples(spark, sf) if samples is None else samples
     counted = hits.hits(samples)
     used = hits.usage(counted.select("grammar", "node_id"), counted, hits.totals(samples))
     return used.where(F.col("usage") < THRESHOLD)
@@ -175,13 +175,14 @@ def rare_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each sample is accepted when rare nodes are taken out of the grammar, and why not."""
-    return evidence.verdicts(_samples(spark, sf), _rare(spark, sf))
+    samples = _samples(spark, sf)
+    return evidence.verdicts(samples, _rare(spark, sf, samples))
 
 
 def restorable_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Rare nodes that a shard, taken by itself, uses often enough to restore."""
     own = _samples(spark, sf)
-    found = evidence.restorable(_rare(spark, sf), hits.hits(own, ["shard_no"]), hits.totals(own, ["shard_no"]), EVIDENCE_RATE, ["shard_no"])
+    found = evidence.restorable(_rare(spark, sf, own), hits.hits(own, ["shard_no"]), hits.totals(own, ["shard_no"]), EVIDENCE_RATE, ["shard_no"])
     return found.select("shard_no", "grammar", "node_id", "hits", F.round("usage", 9).alias("usage"))
 
 
