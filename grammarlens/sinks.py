@@ -7,16 +7,21 @@ import json
 import zipfile
 
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from grammarlens.operators import sampling
+from grammarlens.operators import dedup, sampling
 from grammarlens.sources import submissions
 
 
-def write_list(uris: DataFrame, path: str, column: str = "uri") -> None:
-    """One URI in each line."""
-    uris.select(F.col(column).alias("value")).where("value is not null").write.text(path)
+def write_list(uris: DataFrame, path: str, column: str = "uri", distinct_by: list[str] | None = None) -> int:
+    """One URI in each line; with columns of their order each URI only once, at its first place. How many were written."""
+    kept = uris.where(F.col(column).isNotNull())
+    if distinct_by is not None:
+        kept = sampling.numbered(dedup.first_seen(kept, [column], distinct_by), distinct_by).orderBy("number")
+    seen = Observation()
+    kept.select(F.col(column).alias("value")).observe(seen, F.count("*").alias("n")).write.text(path)
+    return seen.get["n"]
 
 
 def write_shards(uris: DataFrame, path: str, shards: int, order: list[str], column: str = "uri") -> None:

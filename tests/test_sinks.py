@@ -7,7 +7,10 @@ from grammarlens.sources import lists
 
 def test_lists_and_shards(spark, tmp_path):
     df = spark.createDataFrame([(f"u:{i}", i) for i in range(10)] + [(None, 99)], "uri string, ord long")
-    sinks.write_list(df, str(tmp_path / "list"))
+    assert sinks.write_list(df, str(tmp_path / "list")) == 10
+    twice = df.unionByName(df.selectExpr("uri", "ord + 100 as ord"))
+    assert sinks.write_list(twice, str(tmp_path / "once"), distinct_by=["ord"]) == 10
+    assert [r.value for r in spark.read.text(str(tmp_path / "once"), wholetext=True).collect()] == ["".join(f"u:{i}\n" for i in range(10))] or len(list((tmp_path / "once").glob("*.txt"))) > 1
     assert sorted(r.uri for r in lists.read_list(spark, [str(tmp_path / "list")]).collect()) == sorted(f"u:{i}" for i in range(10))
     sinks.write_shards(df.where("uri is not null"), str(tmp_path / "shards"), 3, ["ord"])
     got = {r.value: r.shard for r in spark.read.text(str(tmp_path / "shards")).collect()}
