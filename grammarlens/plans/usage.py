@@ -51,24 +51,24 @@ def _used(spark: SparkSession, sf: str) -> DataFrame:
     return hits.usage(_graph(spark)[0], hits.hits(samples), hits.totals(samples))
 
 
-def _recognized(spark: SparkSession, sf: str, by: list[str] | None = None) -> DataFrame:
-    """Hits of the distinct URIs of each stratum."""
-    once = table(spark, sf, "uri_records").select("stratum", normalized(F.col("raw_uri")).alias("uri")).where("uri is not null and not startswith(uri, '#')").distinct()
-    return recognize.counted(once, "uri", URI, abnf.vendored(), by)
+def _distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct URIs of each stratum."""
+    return table(spark, sf, "uri_records").select("stratum", normalized(F.col("raw_uri")).alias("uri")).where("uri is not null and not startswith(uri, '#')").distinct()
 
 
 def uri_node_usage(spark: SparkSession, sf: str) -> DataFrame:
     """From the URIs themselves: every node of the grammar, how many URIs use it, and which share that is."""
-    found = _recognized(spark, sf)
+    found = recognize.counted(_distinct(spark, sf), "uri", URI, abnf.vendored())
     counted = found.where("node_id is not null").select("grammar", "node_id", "hits")
     used = hits.usage(_graph(spark)[0], counted, found.where("node_id is null").select("grammar", "total_samples"))
     return used.select("node_id", "kind", "name", "hits", "total_samples", F.round("usage", 9).alias("usage"))
 
 
 def uri_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """How many distinct URIs of each stratum the grammar matches."""
-    found = _recognized(spark, sf, ["stratum"]).where("node_id is null")
-    return found.select("stratum", F.col("total_samples").alias("uris"), F.col("hits").alias("matched"))
+    """How many distinct URIs of each stratum the grammar matches, by its expression alone."""
+    pattern = abnf.pattern(abnf.rules(abnf.vendored()), "URI")
+    once = _distinct(spark, sf).where(F.octet_length("uri") <= recognize.MOST_BYTES)
+    return once.groupBy("stratum").agg(F.count("*").alias("uris"), F.count_if(F.col("uri").rlike(rf"^(?:{pattern})\z")).alias("matched"))
 
 
 def uri_scan(spark: SparkSession, sf: str) -> DataFrame:
