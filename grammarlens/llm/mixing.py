@@ -87,10 +87,12 @@ def balanced(wanted: DataFrame, sizes: DataFrame, group: list[str], source: str,
     wanted: one row for each group (run and source), with goal and cap, and no other columns
     that begin with an underscore. sizes: for each source, how many records (n) of each
     positive size it has. A goal of 0 is always reached and has no multiplier. Null and
-    non-positive caps allow nothing, nor does a source without records. An error is raised if
-    a solution isn't met within STEPS.
+    non-positive caps allow nothing, nor does a source without records or a null source; null
+    goals count as 0, and rows with a null in group are left out. An error is raised if a
+    solution isn't met within STEPS.
     """
     limit = F.greatest(F.coalesce(F.col(cap), F.lit(0)), F.lit(0)).alias("_cap")
+    wanted = wanted.where(" and ".join(f"`{g}` is not null" for g in group))
     points = staged(wanted.select(*group, source, F.col(goal).alias("_goal"), limit).join(sizes.select(source, "size", "n"), source, "left"), "balance")
     spark = wanted.sparkSession
     schema = ", ".join(f"`{g}` {wanted.schema[g].dataType.simpleString()}" for g in group) + ", _mult double"

@@ -27,7 +27,6 @@ def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
     """
     records = (
         table(spark, sf, "uri_records")
-        .where("src_file is not null and ord is not null")
         .select("stratum", "src_file", "ord", U.normalized(F.col("raw_uri")).alias("uri"))
         .where("uri is not null and not startswith(uri, '#')")
         .withColumn("uri_key", F.expr(feistel.text_key("uri")))
@@ -194,7 +193,7 @@ _GRAMMAR = "rfc3986-uri"
 
 def _samples(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """The matched samples, each in its first matched delivery, and the number of all samples."""
-    visits = table(spark, sf, "parse_visits").where(F.col("grammar") == _GRAMMAR)
+    visits = table(spark, sf, "parse_visits").where((F.col("grammar") == _GRAMMAR) & F.col("sample_id").isNotNull())
     total = visits.agg(F.countDistinct("sample_id")).first()[0]
     return hits.once(visits.where("is_matched")).select("sample_id", "visited"), total
 

@@ -133,6 +133,13 @@ def test_balanced_rates_meet_their_goals(spark):
         assert mass == pytest.approx(r.share, rel=1e-8)
 
 
+def test_nulls_in_what_is_wanted(spark):
+    sizes = spark.createDataFrame([("a", 1, 100), (None, 1, 5)], "stratum string, size int, n long")
+    want = [(1, 0, "a", 65.0, 65, 1, 0, 0), (None, 0, "a", 65.0, 65, 1, 0, 0), (1, None, "a", 65.0, 65, 1, 0, 0), (1, 2, None, 65.0, 65, 1, 0, 0), (1, 3, "a", None, None, 1, 0, 0), (1, 4, "a", 65.0, 65, 1, None, None)]
+    got = {(r.run_id, r.stratum_idx): r.reached for r in mixing.balanced(wanted(spark, want), sizes, ["run_id", "stratum_idx"], "stratum", "share", "max_repeats").collect()}
+    assert got == {(1, 0): True, (1, 2): False, (1, 3): True, (1, 4): True}
+
+
 def test_a_dual_that_is_not_solved_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(mixing, "STEPS", 1)
     sizes = spark.createDataFrame([("a", 1, 100), ("a", 3, 10)], "stratum string, size int, n long")
